@@ -1,14 +1,19 @@
 """Sharding by Karmarkar-Karp differencing, with equal texts as indivisible groups.
 
-A partial partition is a row of `shards` byte sums with labels; the differencing step takes the two
-partial partitions with the largest spread and adds them oppositely ordered, until one is left.
-The work is a tree of Spark groups: groups of equal texts are dealt into blocks of bounded size by
-hash, each block is differenced by itself, then the blocks' partial partitions are differenced with
-each other, FAN_IN at a time, until one is left. Only (block, label, sum) rows go up the tree, and
-the labels come down again by joins. Slots are numbered in two levels, so a shard or a group that
-holds a third of all rows is numbered by many tasks.
-
-Defined results: null and empty texts are one group of size 16 each; repeated rows are rows of the
+A partial partition is a row of `shards` byte sums; the differencing step takes the two partial
+partitions with the largest spread and adds them oppositely ordered, until one is left. To run on
+many tasks:
+
+* groups above total / (HEAD * shards) bytes - HEAD * shards of them at most, by their size - are
+  differenced first and give the head's partial partition;
+* all others are dealt by hash into blocks of about BLOCK_ITEMS groups; each block is differenced
+  together with its share of the head's partial partition, so the blocks make up for large groups;
+* the last block is differenced with the sum of everything before it, which evens out the rests.
+
+Only (label, sum) rows, `shards` of them, leave the blocks. Slots are numbered in two levels, so a
+shard or a group that holds a third of all rows is numbered by many tasks.
+
+Defined results: null and empty texts are one group, 16 bytes a row; repeated rows are rows of the
 same group; ties are broken by the key, so reruns agree; an empty table gives no rows; other columns
 are ignored.
 """
@@ -26,9 +31,9 @@ from docloom.llm.common import saved, table, whole
 
 SHARDS = 40
 ROW_BYTES = 16
-#: Items differenced by one task, and slot buckets in a shard per this many rows.
+#: Groups differenced by one task; bound of the head, as groups a shard; rows in a slot bucket.
 BLOCK_ITEMS = 8192
-FAN_IN = 256
+HEAD = 50
 SLOT_BUCKET = 2048
 
 
@@ -73,50 +78,52 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, state[root]
 
 
-def _difference_groups(shards: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bytes", "gkey"], ascending=[False, True], kind="stable", ignore_index=True)
-        sums = np.zeros((len(rows), shards))
-        sums[:, 0] = rows["bytes"]
-        place, _ = difference(sums)
-        return pd.DataFrame({"gkey": rows["gkey"], "block": rows["block"], "bytes": rows["bytes"], "label": place[:, 0]})
+def place_items(sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Labels of single items when they are differenced together with the partial partition base."""
+    if not len(sizes):
+        return np.empty(0, dtype=np.int64)
+    sums = np.zeros((len(sizes) + 1, len(base)))
+    sums[0], sums[1:, 0] = base, sizes
+    place, _ = difference(sums)
+    label_at = np.empty(len(base), dtype=np.int64)
+    label_at[place[0]] = np.arange(len(base))
+    return label_at[place[1:, 0]]
 
-    return run
 
+def _difference_block(base: np.ndarray, rest_bytes: float):
+    """Differences one block with its share of base (all of base if rest_bytes is 0)."""
 
-def _difference_blocks(shards: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="block", columns="label", values="bytes").reindex(columns=range(shards)).fillna(0).sort_index()
-        place, _ = difference(wide.to_numpy(dtype=float))
-        parent = int(rows["parent"].iloc[0])
-        return pd.DataFrame({"block": np.repeat(wide.index.to_numpy(), shards), "label": np.tile(np.arange(shards), len(wide)), "parent": parent, "bytes": wide.to_numpy().ravel(), "up": place.ravel()})
+        rows = rows.sort_values(["bytes", "gkey"], ascending=[False, True], kind="stable", ignore_index=True)
+        sizes = rows["bytes"].to_numpy(dtype=float)
+        labels = place_items(sizes, base * (sizes.sum() / rest_bytes if rest_bytes else 1))
+        return pd.DataFrame({"gkey": rows["gkey"], "bytes": rows["bytes"], "shard": labels.astype("int32")})
 
     return run
 
 
-def assign_groups(groups: DataFrame, shards: int = SHARDS, block_items: int = BLOCK_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
+def assign_groups(groups: DataFrame, shards: int = SHARDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """groups: (gkey binary, bytes), one row for each group. Returns gkey, shard."""
-    n_blocks = max(1, -(-groups.count() // block_items))
-    dealt = groups.select("gkey", F.col("bytes").cast("long").alias("bytes"), F.pmod(F.xxhash64("gkey"), F.lit(n_blocks)).alias("block"))
-    placed = saved(dealt.groupBy("block").applyInPandas(_difference_groups(shards), "gkey binary, block long, bytes long, label int"))
-    label = placed.groupBy("block", "label").agg(F.sum("bytes").cast("double").alias("bytes"))
-    down = None
-    while n_blocks > 1:
-        n_parents = -(-n_blocks // fan_in)
-        level = saved(
-            label.withColumn("parent", (F.col("block") % n_parents))
-            .groupBy("parent")
-            .applyInPandas(_difference_blocks(shards), "block long, label int, parent long, bytes double, up int")
-        )
-        step = level.select("block", "label", "parent", "up")
-        down = step if down is None else saved(
-            down.alias("d").join(step.alias("s"), (F.col("d.parent") == F.col("s.block")) & (F.col("d.up") == F.col("s.label"))).select("d.block", "d.label", "s.parent", "s.up")
-        )
-        label = level.groupBy(F.col("parent").alias("block"), F.col("up").alias("label")).agg(F.sum("bytes").alias("bytes"))
-        n_blocks = n_parents
-    if down is None:
-        return placed.select("gkey", F.col("label").alias("shard"))
-    return placed.join(down.select("block", "label", F.col("up").alias("shard")), ["block", "label"]).select("gkey", "shard")
+    spark, out = groups.sparkSession, "gkey binary, bytes long, shard int"
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    is_head = F.col("bytes") * HEAD * shards > total
+    head = sorted(((r["bytes"], bytes(r["gkey"])) for r in groups.where(is_head).select("bytes", "gkey").collect()), key=lambda x: (-x[0], x[1]))
+    head_sizes = np.array([x[0] for x in head], dtype=float)
+    labels = place_items(head_sizes, np.zeros(shards))
+    base = np.bincount(labels, weights=head_sizes, minlength=shards).astype(float)
+    placed = [spark.createDataFrame([(key, size, int(label)) for (size, key), label in zip(head, labels, strict=True)], out)]
+    n_blocks = max(1, -(-(count - len(head)) // block_items))
+    rest = groups.where(~is_head).select("gkey", F.col("bytes").cast("long").alias("bytes"), F.pmod(F.xxhash64("gkey"), F.lit(n_blocks)).alias("block"))
+    if n_blocks > 1:
+        early = saved(rest.where("block > 0").groupBy("block").applyInPandas(_difference_block(base, float(total - head_sizes.sum())), out))
+        for r in early.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
+            base[r["shard"]] += r["bytes"]
+        placed.append(early)
+    placed.append(rest.where("block = 0").groupBy("block").applyInPandas(_difference_block(base, 0.0), out))
+    result = placed[0]
+    for part in placed[1:]:
+        result = result.unionByName(part)
+    return result.select("gkey", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
