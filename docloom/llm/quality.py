@@ -31,9 +31,8 @@ MAX_REPEAT_PERCENT = 50
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, words and the base figures of every row of docs (doc_id, text)."""
-    text = whole(F.col("text"))
-    d = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("w"))
+    """The row of docs itself, its words and the base figures."""
+    d = docs.select(F.struct("*").alias("row"), whole(F.col("text")).alias("text"), words(F.col("text")).alias("w"))
     bits = "cast(ceil(log2(size(w) + 1)) as int)"
     d = d.withColumn("b", F.expr(bits)).withColumn(
         "codes", F.expr("case when size(w) < 4 then cast(array() as array<bigint>) else array_sort(transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | i)) end")
@@ -55,7 +54,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     with_words = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     n = F.size("w").cast("long")
     return d.select(
-        "doc_id",
+        "row",
         "w",
         n.alias("n_words"),
         F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.char_length(x)).alias("word_chars"),
@@ -99,14 +98,21 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS, bound: int =
 
 
 def score_documents(docs: DataFrame, ratios: list[float], min_score: float = MIN_SCORE) -> DataFrame:
-    """The base columns, score and kept."""
+    """row (all columns of docs), the base columns, score and kept."""
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     total = F.aggregate(ngram_bins(bins=len(ratios)), F.lit(0.0), lambda s, b: s + F.get(weights, b))
     n = F.greatest(F.lit(1), 2 * F.size("w") - 1)
-    scored = base_columns(docs.select("doc_id", "text")).withColumn("score", F.round(total / n, 6))
+    scored = base_columns(docs).withColumn("score", F.round(total / n, 6))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("w")
 
 
+def kept_documents(docs: DataFrame, ratios: list[float], min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs that the rules keep."""
+    # explode stands between the filter and the nested expressions, which the optimizer would else copy into the filter many times over
+    return score_documents(docs, ratios, min_score).select("row", F.explode(F.array("kept")).alias("stays")).where("stays").select("row.*")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_documents(docs, fit_ratio(docs, table(spark, sf_dir, "labels")))
+    scored = score_documents(docs.select("doc_id", "text"), fit_ratio(docs, table(spark, sf_dir, "labels")))
+    return scored.select("row.doc_id", *[c for c in scored.columns if c != "row"])

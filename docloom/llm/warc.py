@@ -126,5 +126,5 @@ def write_warc(records: DataFrame, path: str) -> None:
     serialised(records).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
-def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages")))
