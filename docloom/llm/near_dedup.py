@@ -305,9 +305,9 @@ def confirmed_groups(candidates: DataFrame, docs: DataFrame, k: int, percent: in
     blocks = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     chunks = merged.select("component", "chunk").distinct()
     pairs = blocks.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(chunks, "component").withColumn("pair", F.xxhash64("component", "block", "chunk"))
-    left = rest.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(pairs, ["component", "block"]).join(texts, "rep").select("pair", "label", word_hashes(F.col("text")).alias("w"))
-    right = merged.join(pairs, ["component", "chunk"]).join(texts, "rep").select("pair", "label", word_hashes(F.col("text")).alias("w"))
-    links = saved(left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(_across(k, percent), "a long, b long"))
+    left = rest.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).join(pairs, ["component", "block"]).join(texts, "rep").select(F.col("pair").alias("block_pair"), "label", word_hashes(F.col("text")).alias("w"))
+    right = merged.join(pairs, ["component", "chunk"]).join(texts, "rep").select(F.col("pair").alias("chunk_pair"), "label", word_hashes(F.col("text")).alias("w"))
+    links = saved(left.groupBy("block_pair").cogroup(right.groupBy("chunk_pair")).applyInArrow(_across(k, percent), "a long, b long"))
     joined = components(links).select(F.col("node").alias("label"), F.col("component").alias("final"))
     settled = merged.join(joined, "label", "left").select("rep", F.coalesce("final", "label").alias("label"))
     return found.join(large, "component", "left_anti").select("rep", "label").unionByName(settled)
