@@ -65,3 +65,14 @@ def chunked(docs: DataFrame, chunk_bytes: int, buckets: int | None = None) -> tu
     placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)))
     placed.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name), total
+
+
+def by_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) as a table bucketed by doc_id: joins on doc_id shuffle only their other side."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = int(min(4096, max(24, total // (32 << 20))))
+    name = f"docloom_{uuid.uuid4().hex}"
+    docs.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").saveAsTable(name)
+    return spark.table(name)

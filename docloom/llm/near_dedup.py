@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, saved, table, whole, words
+from docloom.llm.common import ascii_lower, by_id, saved, table, whole, words
 
 TREES = 24
 BASE_DEPTH = 4
@@ -259,7 +259,7 @@ def _solve(k: int, percent: int):
 def _solved(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """members: (component, chunk, rep). Labels within each chunk, confirmed on full sets."""
     units = max(1, -(-members.count() // UNIT))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
     rows = members.withColumn("unit", F.pmod(F.xxhash64("component", "chunk"), F.lit(units))).join(texts, "rep").dropDuplicates(["rep"])
     hashed = rows.repartition("unit").select("unit", "component", "chunk", "rep", word_hashes(F.col("text")).alias("w"))
     return saved(hashed.groupBy("unit").applyInArrow(_solve(k, percent), LABELLED))
@@ -300,7 +300,7 @@ def confirmed_groups(candidates: DataFrame, docs: DataFrame, k: int, percent: in
     merged = saved(found.join(large, "component", "left_semi").join(tops, "label").select("component", "chunk", "rep", F.col("top").alias("label")))
     # the rest: everything outside the largest group of its component, in blocks against all members
     largest = merged.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
     rest = saved(merged.join(largest, "component").where("label <> main").select("component", "rep", "label"))
     blocks = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     chunks = merged.select("component", "chunk").distinct()
@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = saved(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
     candidates = components(candidate_links(classes)).select(F.col("node").alias("rep"), "component")
     candidates = saved(candidates.unionByName(candidates.select(F.col("component").alias("rep"), "component").distinct()))
-    labels = confirmed_groups(candidates, docs, k, percent)
+    labels = confirmed_groups(candidates, by_id(docs.where("doc_id is not null")), k, percent)
     final = classes.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(final, "set_key", "left").select(
