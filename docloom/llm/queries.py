@@ -1,12 +1,13 @@
 """Queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from docloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, warc
+from docloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, suffix_array, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_sharding": sharding.op4_sharding,
+    "op5_suffix_array_dedup": suffix_array.op5_suffix_array_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_warc_derivatives": warc.op7_warc_derivatives,
     "op8_near_dedup": near_dedup.op8_near_dedup,
