@@ -50,14 +50,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunked(docs: DataFrame, chunk_bytes: int, buckets: int | None = None) -> tuple[DataFrame, int]:
-    """(doc_id, text, chunk) as a table bucketed by chunk, and its total of text bytes.
+def chunked(docs: DataFrame, chunk_bytes: int, buckets: int | None = None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(doc_id, text, extra columns, chunk) as a table bucketed by chunk, and its total of text bytes.
 
     A chunk is a set of whole documents of about chunk_bytes together (chosen by hash, so copies and hot
     sources are spread). Grouping this table by chunk needs no further shuffle of texts.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"), *extra)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-total // chunk_bytes))
     buckets = buckets or int(min(4096, max(24, total // (32 << 20))))

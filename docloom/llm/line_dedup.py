@@ -25,10 +25,25 @@ def lines(text: Column) -> Column:
     return F.split(whole(text), "\n")
 
 
+def _folded(line: Column) -> Column:
+    """A string that two lines share just when they are equal but for the case of A-Z.
+
+    ASCII lines are lower-cased. Others give their lower-cased form and, after a line break, their non-ASCII
+    characters as they are: equal ones differ in the case of A-Z alone. The two characters whose lower case
+    holds an ASCII letter (U+0130, U+212A) take the slow letter-by-letter way.
+    """
+    odd = F.contains(line, F.lit("\u0130")) | F.contains(line, F.lit("\u212a"))
+    return (
+        F.when(F.length(line) == F.octet_length(line), F.lower(line))
+        .when(odd, ascii_lower(line))
+        .otherwise(F.concat(F.lower(line), F.lit("\n"), F.regexp_replace(line, "[\\x00-\\x7F]+", "")))
+    )
+
+
 def line_keys(text: Column) -> Column:
     """For each line the 128-bit hash of its key (trimmed, A-Z lower-cased); null where the key is empty."""
-    trimmed = F.transform(F.split(ascii_lower(whole(text)), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
-    return F.transform(trimmed, lambda x: F.when(x != "", F.unhex(F.md5(x))))
+    trimmed = F.transform(lines(text), lambda x: F.btrim(x, F.lit(BLANKS)))
+    return F.transform(trimmed, lambda x: F.when(x != "", F.unhex(F.md5(_folded(x)))))
 
 
 class LineRuns:
@@ -94,24 +109,24 @@ def _document_keys(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text: every line whose key is in at least min_documents documents goes."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64(whole(F.col("text"))).alias("print"))
+    keyed = saved(docs.select("doc_id", "print", F.pmod(F.xxhash64("doc_id", "print"), F.lit(batches)).alias("batch"), line_keys(F.col("text")).alias("keys")))
     runs = LineRuns(min_documents)
     for i in range(batches):
-        runs.add(_document_keys(docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches)) == i)))
+        runs.add(keyed.where(F.col("batch") == i).select(F.explode(F.array_compact(F.array_distinct("keys"))).alias("key")))
     frequent = saved(runs.frequent())
     hits = (
-        docs.select("doc_id", F.explode(F.array_compact(F.array_distinct(line_keys(F.col("text"))))).alias("key"))
+        keyed.select("doc_id", "print", F.posexplode("keys").alias("pos", "key"))
+        .where("key is not null")
         .join(frequent, "key", "left_semi")
-        .groupBy(F.col("doc_id").alias("hit_id"))
-        .agg(F.collect_set("key").alias("hot"))
-    )
-    marked = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select(
-        "doc_id", lines(F.col("text")).alias("lines"), F.when(F.col("hot").isNotNull(), line_keys(F.col("text"))).alias("keys"), "hot"
-    )
-    kept = F.when(F.col("hot").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda _, i: ~F.coalesce(F.array_contains("hot", F.get("keys", i)), F.lit(False)))
+        .groupBy(F.col("doc_id").alias("hit_id"), F.col("print").alias("hit_print"))
+        .agg(F.collect_list("pos").alias("gone"))
     )
-    return marked.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "lines", kept.alias("kept")).select(
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("print") == F.col("hit_print"))
+    marked = docs.join(hits, same, "left").select("doc_id", lines(F.col("text")).alias("lines"), "gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
+    return marked.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
         "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text")
     )
 

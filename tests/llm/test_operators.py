@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, suffix_array, warc
 
@@ -62,6 +63,14 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_keys_fold_the_case_of_ascii_letters_only(spark):
+    forms = ["Straße A", "strasse a", "straße a", "É x", "é x", "\u212a k", "k \u212a", "K k", "\u0130I", "\u0130i", "i\u0307i", "ΣΑΣ b", "ΣΑΣ B", "σας b"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(forms)], "i int, x string").select("i", line_dedup.line_keys(F.col("x"))[0].alias("k")).collect()
+    keys = {r["i"]: bytes(r["k"]) for r in rows}
+    fold = [x.translate({c: c + 32 for c in range(65, 91)}) for x in forms]
+    assert all((keys[i] == keys[j]) == (fold[i] == fold[j]) for i in keys for j in keys)
+
+
 def test_line_runs_give_only_lines_not_seen_before(spark):
     runs = line_dedup.LineRuns()
     batch = lambda *t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
