@@ -1,8 +1,10 @@
 """Suffix-array dedup of repeated byte strings by a distributed difference-cover algorithm.
 
 1. Candidates. Any `length`-byte string holds a content-chosen anchor (least of every 35 hashes of 16
-   bytes). Strings whose anchor occurs in one document only can't repeat across documents; what is left
-   is cut out as spans. This drops no repeat and keeps unique text out of the sort.
+   bytes). Strings whose anchor occurs in one document only can't repeat across documents. What is left is
+   cut into pieces at content-chosen places. Of equal pieces the smallest document's is judged further;
+   those of larger documents go whole, since each of their strings starts in the smallest document. Anchors
+   are then counted again among the judged pieces alone, so copies leave little to sort. No repeat is lost.
 2. Difference cover. The letters of a suffix are its 8-byte groups. Suffixes whose letter number modulo
    3 is 1 or 2 are sampled; their triples of letters are range-sorted and named. Names stand for 24
    bytes, so one recursion, on triples of names, orders the sample by 72 bytes - more than asked.
@@ -14,7 +16,8 @@
 
 Defined results: null and empty texts have no bytes; texts shorter than `length` lose nothing; matches
 never cross documents and a document is not compared with itself; rows that repeat a doc_id are one
-document to this rule; an empty table gives no rows; other columns are ignored.
+document to this rule, with a row each; a null doc_id counts as larger than all others; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import chunked, saved, table
-from docloom.llm.matching import MAX, dealt, found_in, gram_hashes, joined, minimizers, spread
+from docloom.llm.matching import dealt, found_in, gram_hashes, joined, minimizers, mixed, spread
 
 LENGTH = 50
 GRAM = 16
 LETTER = 8
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
+PIECE_ANCHORS = 16
 _SIGN = np.uint64(1 << 63)
 
 
@@ -48,28 +53,60 @@ def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, (starts + lengths)[number] - np.arange(len(data)), number, starts
 
 
-def _texts(rows: pa.Table) -> tuple[list[int], list[bytes]]:
-    rows = rows.sort_by("doc_id")
-    return rows.column("doc_id").to_pylist(), [x.as_buffer().to_pybytes() for x in rows.column("text").cast(pa.binary()).combine_chunks()]
-
-
-def _anchors(buckets: int, length: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ids, texts = _texts(rows)
+class _Chunk:
+    """The documents of a chunk laid end to end, and the places where judged strings may start."""
+
+    def __init__(self, rows: pa.Table, length: int):
+        rows = rows.sort_by("row")
+        self.row, self.doc = rows.column("row").to_numpy(), rows.column("doc").to_numpy()
+        self.ids, self.texts = rows.column("doc_id").to_pylist(), [x.as_buffer().to_pybytes() for x in rows.column("text").cast(pa.binary()).combine_chunks()]
+        self.length = length
+        self.data, self.room, self.number, self.starts = _laid(self.texts)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchor of the string from each place, and where another one begins."""
+        least, _ = minimizers(gram_hashes(self.data.astype(np.uint64), GRAM, self.room), self.length - GRAM + 1)
+        return least, np.concatenate([[True], (least[1:] != least[:-1]) | (self.number[1:] != self.number[:-1])])
+
+    def judged(self, told: pa.Table | None) -> np.ndarray:
+        """Places with a whole string; with `told`, those in its ranges only."""
+        whole = self.room >= self.length
+        if told is None:
+            return whole
+        ranges = told.filter(pa.compute.is_valid(told.column("row")))
+        if not ranges.num_rows:
+            return np.zeros(len(whole), dtype=bool)
+        at = self.starts[np.searchsorted(self.row, ranges.column("row").to_numpy())] + ranges.column("start").to_numpy()
+        return whole & spread(at, at + ranges.column("n").to_numpy(), len(whole))
+
+    def candidates(self, told: pa.Table, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Judged places whose anchor several documents share; anchors; where another anchor begins."""
+        least, new = self.hashes()
+        refs = np.unique(joined(told.column("hashes"), np.uint64))
+        changes = np.flatnonzero(new)
+        hit = np.repeat(found_in(least[changes], refs) >= 0, np.diff(np.append(changes, len(least))))
+        return hit & self.judged(None if every else told), least, new
+
+
+def _anchors(buckets: int, length: int, every: bool):
+    """Anchors of the judged strings, dealt to buckets by hash; `many` marks those of several documents of the chunk."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table | None) -> pa.Table:
+        out = []
         with np.errstate(over="ignore"):
-            data, room, number, _ = _laid(texts)
-            h = gram_hashes(data.astype(np.uint64), GRAM, room) if len(data) else np.empty(0, np.uint64)
-            _, chosen = minimizers(h, length - GRAM + 1)
-            at = np.flatnonzero(chosen)
-            doc = np.array(ids, dtype=np.int64)[number[at]]
-            order = np.lexsort((doc, h[at]))
-            hashes, first = np.unique(h[at][order], return_index=True)
-            last = np.append(first[1:], len(order)) - 1
-            many = (doc[order][first] != doc[order][last]).astype(np.uint8) if len(order) else np.empty(0, np.uint8)
-            out = [(b, key[0].as_py(), hashes[i].tobytes(), many[i].tobytes()) for b, i in dealt(hashes, buckets)]
+            chunk = _Chunk(rows, length)
+            if len(chunk.data):
+                least, new = chunk.hashes()
+                judged = chunk.judged(told)
+                at = np.flatnonzero(judged & (new | ~np.concatenate([[False], judged[:-1]])))
+                order = np.lexsort((chunk.doc[chunk.number[at]], least[at]))
+                doc, h = chunk.doc[chunk.number[at]][order], least[at][order]
+                hashes, first = np.unique(h, return_index=True)
+                many = (doc[first] != doc[np.append(first[1:], len(doc)) - 1]).astype(np.uint8) if len(doc) else np.empty(0, np.uint8)
+                out = [(b, key[0].as_py(), hashes[i].tobytes(), many[i].tobytes()) for b, i in dealt(hashes, buckets)]
         return _table(out, [("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("many", pa.binary())])
 
-    return run
+    return (lambda key, rows: run(key, rows, None)) if every else run
 
 
 def _table(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -89,31 +126,55 @@ def _shared(rows: pa.Table) -> pa.Table:
     return _table([x for x in out if x[1]], [("chunk", pa.int64()), ("hashes", pa.binary())])
 
 
-SPANS = "doc_id long, start int, body binary"
+PIECES = "chunk long, row long, doc long, start int, n int, print binary"
+
+
+def _pieces(length: int):
+    """Runs of candidate strings, cut where the content says so: rows of (first place, strings, hash of their bytes)."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        with np.errstate(over="ignore"):
+            chunk = _Chunk(rows, length)
+            if len(chunk.data) and told.num_rows:
+                hit, least, new = chunk.candidates(told, every=True)
+                other = np.concatenate([[True], chunk.number[1:] != chunk.number[:-1]])
+                cut = new & (mixed(least) % np.uint64(PIECE_ANCHORS) == 0)
+                begin = np.flatnonzero(hit & (~np.concatenate([[False], hit[:-1]]) | other | cut))
+                ahead = np.concatenate([(~hit | other | cut)[1:], [True]])
+                end = np.flatnonzero(hit & ahead) + 1
+                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                    d = int(chunk.number[a])
+                    first = a - int(chunk.starts[d])
+                    body = chunk.texts[d][first : first + b - a + length - 1]
+                    out.append((key[0].as_py(), int(chunk.row[d]), int(chunk.doc[d]), first, b - a, hashlib.blake2b(body, digest_size=16).digest()))
+        return _table(out, [("chunk", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("print", pa.binary())])
+
+    return run
+
+
+SPANS = "row long, doc long, start int, body binary"
 
 
 def _cut(length: int):
-    """Spans of the documents in which candidate strings start."""
+    """Spans of the documents in which strings to sort start."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts = _texts(rows)
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         with np.errstate(over="ignore"):
-            data, room, number, starts = _laid(texts)
-            refs = np.unique(joined(answers.column("hashes"), np.uint64)) if answers.num_rows else np.empty(0, np.uint64)
-            if len(data) and len(refs):
-                least, _ = minimizers(gram_hashes(data.astype(np.uint64), GRAM, room), length - GRAM + 1)
-                changes = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                hit = np.repeat(found_in(least[changes], refs) >= 0, np.diff(np.append(changes, len(least)))) & (room >= length) & (least != MAX)
-                begin = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]) | hit & np.concatenate([[True], number[1:] != number[:-1]]))
-                end = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]) | hit & np.concatenate([number[1:] != number[:-1], [True]]))
+            chunk = _Chunk(rows, length)
+            if len(chunk.data) and told.num_rows:
+                hit, _, _ = chunk.candidates(told, every=False)
+                number = chunk.number
+                begin = np.flatnonzero(hit & (~np.concatenate([[False], hit[:-1]]) | np.concatenate([[True], number[1:] != number[:-1]])))
+                end = np.flatnonzero(hit & (~np.concatenate([hit[1:], [False]]) | np.concatenate([number[1:] != number[:-1], [True]])))
                 # spans that would overlap are one, so each byte has one place in the sample
                 apart = np.flatnonzero((number[begin[1:]] != number[begin[:-1]]) | (begin[1:] - end[:-1] >= length))
                 for a, b in zip(np.append(begin[:1], begin[apart + 1]).tolist(), np.append(end[apart], end[-1:]).tolist(), strict=True):
                     d = int(number[a])
-                    first = a - int(starts[d])
-                    out.append((ids[d], first, texts[d][first : b - int(starts[d]) + length]))
-        return _table(out, [("doc_id", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
+                    first = a - int(chunk.starts[d])
+                    out.append((int(chunk.row[d]), int(chunk.doc[d]), first, chunk.texts[d][first : b - int(chunk.starts[d]) + length]))
+        return _table(out, [("row", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
 
     return run
 
@@ -136,8 +197,8 @@ def _ahead(x: np.ndarray, room: np.ndarray, n: int, none: int) -> np.ndarray:
 
 
 _LAST = np.iinfo(np.int64).min
-TRIPLES = "doc_id long, at int, a long, b long, c long"
-NAMES = "doc_id long, at int, name long"
+TRIPLES = "row long, at int, a long, b long, c long"
+NAMES = "row long, at int, name long"
 
 
 def _span_rows(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,10 +215,10 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         data, room, place, number = _span_rows(batch)
         letter = _letters(data, room)
-        ids, first = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("start").to_numpy(zero_copy_only=False)
+        ids, first = batch.column("row").to_numpy(zero_copy_only=False), batch.column("start").to_numpy(zero_copy_only=False)
         s = np.flatnonzero(place // LETTER % 3 > 0)
         b, c = _ahead(letter, room, LETTER, _LAST), _ahead(letter, room, 2 * LETTER, _LAST)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[number[s]]), pa.array((first[number[s]] + place[s]).astype(np.int32)), pa.array(letter[s]), pa.array(b[s]), pa.array(c[s])], ["doc_id", "at", "a", "b", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[number[s]]), pa.array((first[number[s]] + place[s]).astype(np.int32)), pa.array(letter[s]), pa.array(b[s]), pa.array(c[s])], ["row", "at", "a", "b", "c"])
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +230,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c = a[order], b[order], c[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
         name = np.cumsum(new).astype(np.int64) + (TaskContext.get().partitionId() << 40)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(at[order]), pa.array(name)], ["doc_id", "at", "name"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(at[order]), pa.array(name)], ["row", "at", "name"])
 
 
 def _lookup(at: np.ndarray, names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -179,23 +240,22 @@ def _lookup(at: np.ndarray, names: np.ndarray, wanted: np.ndarray) -> np.ndarray
 
 
 def _recurse(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Triples of names, 24 bytes apart, of one document's sampled suffixes."""
+    """Triples of names, 24 bytes apart, of one row's sampled suffixes."""
     at, name = rows.column("at").to_numpy(), rows.column("name").to_numpy()
     order = np.argsort(at)
     at, name = at[order], name[order]
     step = 3 * LETTER
-    return pa.table({"doc_id": pa.array(np.full(len(at), key[0].as_py(), dtype=np.int64)), "at": at, "a": name, "b": _lookup(at, name, at + step), "c": _lookup(at, name, at + 2 * step)})
+    return pa.table({"row": pa.array(np.full(len(at), key[0].as_py(), dtype=np.int64)), "at": at, "a": name, "b": _lookup(at, name, at + step), "c": _lookup(at, name, at + 2 * step)})
 
 
-SUFFIXES = "doc_id long, at int, kind int, a long, b long, r8 long, r16 long, own long, prefix long"
+SUFFIXES = "row long, doc long, at int, kind int, a long, b long, r8 long, r16 long, own long, prefix long"
 
 
 def _suffixes(length: int):
-    """Every candidate suffix of a document with what the merge compares and the hash of its first `length` bytes."""
+    """Every candidate suffix of a row with what the merge compares and the hash of its first `length` bytes."""
 
     def run(key: tuple[pa.Scalar, ...], spans: pa.Table, ranks: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
-            spans = spans.combine_chunks()
             data, room, place, number = _span_rows(spans)
             first = spans.column("start").to_numpy()
             pos = first[number].astype(np.int64) + place
@@ -206,7 +266,7 @@ def _suffixes(length: int):
             s = np.flatnonzero(room >= length)
             n = len(s)
             prefix = gram_hashes(data.astype(np.uint64), length, room)[s].view(np.int64)
-            return pa.table({"doc_id": np.full(n, key[0].as_py(), dtype=np.int64), "at": pos[s].astype(np.int32), "kind": (place[s] // LETTER % 3).astype(np.int32), "a": letter[s], "b": _ahead(letter, room, LETTER, _LAST)[s],
+            return pa.table({"row": np.full(n, key[0].as_py(), dtype=np.int64), "doc": spans.column("doc").to_numpy()[number[s]], "at": pos[s].astype(np.int32), "kind": (place[s] // LETTER % 3).astype(np.int32), "a": letter[s], "b": _ahead(letter, room, LETTER, _LAST)[s],
                              "r8": look(pos[s] + LETTER), "r16": look(pos[s] + 2 * LETTER), "own": look(pos[s]), "prefix": prefix})
 
     return run
@@ -232,7 +292,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    doc, at, kind, a, b, r8, r16, own, prefix = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(9))
+    row, doc, at, kind, a, b, r8, r16, own, prefix = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(10))
     rest, one, two = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
     position = own.copy()
     position[rest] = np.maximum(_before([a[one], r8[one]], own[one], [a[rest], r8[rest]]), _before([a[two], b[two], r16[two]], own[two], [a[rest], b[rest], r16[rest]]))
@@ -241,22 +301,30 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(~same)
     least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.append(starts, len(order))))
     gone = order[doc[order] > least]
-    yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(at[gone])], ["doc_id", "at"])
+    yield pa.RecordBatch.from_arrays([pa.array(row[gone]), pa.array(at[gone])], ["row", "at"])
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
 def _remove(length: int, with_bytes: bool):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
-        ids, texts = _texts(rows)
-        marks = dict(zip(found.column("doc_id").to_pylist(), found.column("places").to_pylist(), strict=True))
+    """Cuts what is told of each row: ranges of removed strings, and pieces that fare as an equal piece of the row does."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+        chunk = _Chunk(rows, length)
+        told = told.sort_by("row")
+        row, at, n, source = (told.column(x).to_numpy() for x in ("row", "at", "n", "source"))
+        low, high = np.searchsorted(row, chunk.row, "left"), np.searchsorted(row, chunk.row, "right")
         out = []
-        for doc_id, text in zip(ids, texts, strict=True):
+        for doc_id, text, a, b in zip(chunk.ids, chunk.texts, low.tolist(), high.tolist(), strict=True):
             n_removed = n_spans = 0
             kept = text
-            if places := marks.get(doc_id):
-                begin = np.array(places, dtype=np.int64)
+            if b > a:
+                sure = source[a:b] < 0
+                starts = spread(at[a:b][sure], (at[a:b] + n[a:b])[sure], len(text))
+                for to, size, src in zip(at[a:b][~sure].tolist(), n[a:b][~sure].tolist(), source[a:b][~sure].tolist(), strict=True):
+                    starts[to : to + size] |= starts[src : src + size]
+                begin = np.flatnonzero(starts)
                 gone = spread(begin, begin + length, len(text))
                 n_removed, n_spans = int(gone.sum()), int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum())
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
@@ -267,25 +335,43 @@ def _remove(length: int, with_bytes: bool):
 
 
 def repeated_strings(spans: DataFrame, length: int) -> DataFrame:
-    """(doc_id, at): places of `length`-byte strings that also start in a smaller document."""
+    """(row, at): places of `length`-byte strings that also start in a smaller document."""
     triples = spans.mapInArrow(_sample, TRIPLES)
-    names = saved(triples.repartitionByRange("a").mapInArrow(_named, NAMES))
-    deeper = names.groupBy("doc_id").applyInArrow(_recurse, TRIPLES)
-    ranks = saved(saved(deeper).repartitionByRange("a").mapInArrow(_named, NAMES))
-    suffixes = saved(spans.groupBy("doc_id").cogroup(ranks.groupBy("doc_id")).applyInArrow(_suffixes(length), SUFFIXES))
-    return suffixes.repartitionByRange("a").mapInArrow(_merge, "doc_id long, at int")
+    names = saved(triples.repartitionByRange("a", "b", "c").mapInArrow(_named, NAMES))
+    deeper = saved(names.groupBy("row").applyInArrow(_recurse, TRIPLES))
+    ranks = saved(deeper.repartitionByRange("a", "b", "c").mapInArrow(_named, NAMES))
+    suffixes = saved(spans.groupBy("row").cogroup(ranks.groupBy("row")).applyInArrow(_suffixes(length), SUFFIXES))
+    return suffixes.repartitionByRange("a", "b").mapInArrow(_merge, "row long, at int")
 
 
 def dedup_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256."""
-    stored, total = chunked(docs, CHUNK_BYTES)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(2**63 - 1))).withColumn("row", F.monotonically_increasing_id())
+    stored, total = chunked(docs, CHUNK_BYTES, extra=("doc", "row"))
     buckets = int(max(24, total // BUCKET_BYTES))
-    answers = saved(stored.groupBy("chunk").applyInArrow(_anchors(buckets, length), "bucket int, chunk long, hashes binary, many binary").groupBy("bucket").applyInArrow(_shared, "chunk long, hashes binary"))
-    spans = saved(stored.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(length), SPANS))
+    sent = "bucket int, chunk long, hashes binary, many binary"
+
+    def shared(anchors: DataFrame) -> DataFrame:
+        return anchors.groupBy("bucket").applyInArrow(_shared, "chunk long, hashes binary")
+
+    answers = saved(shared(stored.groupBy("chunk").applyInArrow(_anchors(buckets, length, True), sent)))
+    pieces = saved(stored.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_pieces(length), PIECES))
+    least = pieces.groupBy("print").agg(F.min("doc").alias("least"))
+    placed = saved(pieces.join(least, "print"))
+    own = saved(placed.where("doc = least").groupBy("chunk", "row", "print").agg(F.min("n").alias("n"), F.min("start").alias("start"), F.collect_list("start").alias("all")))
+    judged = own.select("chunk", F.lit(None).cast("binary").alias("hashes"), "row", "start", "n")
+    again = saved(shared(stored.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(_anchors(buckets, length, False), sent)))
+    told = judged.unionByName(again, allowMissingColumns=True)
+    spans = saved(stored.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_cut(length), SPANS))
     found = saved(repeated_strings(spans, length))
-    places = stored.select("doc_id", F.col("chunk").alias("place")).distinct()
-    told = found.groupBy("doc_id").agg(F.collect_list("at").alias("places")).join(places, "doc_id").select("place", "doc_id", "places")
-    return stored.groupBy("chunk").cogroup(told.groupBy("place")).applyInArrow(_remove(length, with_bytes), RESULT)
+    one, sure = F.lit(1).alias("n"), F.lit(-1).alias("source")
+    gone = (
+        found.join(stored.select("row", "chunk"), "row").select("chunk", "row", "at", one, sure)
+        .unionByName(placed.where("doc > least").select("chunk", "row", F.col("start").alias("at"), "n", sure))
+        .unionByName(own.where(F.size("all") > 1).select("chunk", "row", F.explode("all").alias("at"), "n", F.col("start").alias("source")).where("at <> source"))
+    )
+    gone = gone.select(F.col("chunk").alias("place"), "row", "at", "n", "source")
+    return stored.groupBy("chunk").cogroup(gone.groupBy("place")).applyInArrow(_remove(length, with_bytes), RESULT)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,6 +156,31 @@ def test_suffix_array(docs, rows, empty):
     assert suffix_array.dedup_repeats(empty).count() == 0
 
 
+def test_suffix_array_with_copies_repeated_and_null_ids(spark):
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
+    long, passages = make(3000), [make(n) for n in (49, 50, 51, 90, 400)]
+    texts = [long, long, long[:1500] + "#" + long[1500:], "ab" * 300, "ab" * 200 + make(60), passages[4] * 3, passages[4] * 2 + make(30) + passages[4]]
+    texts += [make(r.randrange(80)) + r.choice(passages) + make(r.randrange(80)) + r.choice(passages) for _ in range(40)]
+    ids = [*range(len(texts) - 4), 3, 5, None, None]
+    r.shuffle(ids)
+    last, least = 1 << 62, {}
+    for i, t in zip(ids, texts, strict=True):
+        b = t.encode()
+        for j in range(len(b) - 49):
+            least[b[j : j + 50]] = min(least.get(b[j : j + 50], last), last if i is None else i)
+    want = []
+    for i, t in zip(ids, texts, strict=True):
+        b, gone = t.encode(), set()
+        for j in range(len(b) - 49):
+            if least[b[j : j + 50]] < (last if i is None else i):
+                gone.update(range(j, j + 50))
+        want.append((i, len(b), len(gone), sum(j - 1 not in gone for j in gone), bytes(x for j, x in enumerate(b) if j not in gone)))
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in suffix_array.dedup_repeats(rows).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("window", [35, 9])
 def test_substring_dedup(docs, rows, empty, window):
     counts = Counter(tuple(w[j : j + window]) for _, t, *_ in rows for w in [re.findall(BLANK, t or "")] for j in range(len(w) - window + 1))
