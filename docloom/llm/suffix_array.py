@@ -1,10 +1,10 @@
 """Suffix-array dedup of repeated byte strings by a distributed difference-cover algorithm.
 
-1. Candidates. Any `length`-byte string holds a content-chosen anchor (least of every 35 hashes of 16
+1. Candidates. Any `length`-byte string holds a content-chosen anchor (least of its 27 hashes of 24
    bytes). Strings whose anchor occurs in one document only can't repeat across documents. What is left is
    cut into pieces at content-chosen places. Of equal pieces the smallest document's is judged further;
-   those of larger documents go whole, since each of their strings starts in the smallest document. Anchors
-   are then counted again among the judged pieces alone, so copies leave little to sort. No repeat is lost.
+   those of larger documents go whole, since each of their strings starts in the smallest document. Longer
+   anchors (40 bytes) are then counted among the judged pieces alone, so copies leave little to sort. No repeat is lost.
 2. Difference cover. The letters of a suffix are its 8-byte groups. Suffixes whose letter number modulo
    3 is 1 or 2 are sampled; their triples of letters are range-sorted and named. Names stand for 24
    bytes, so one recursion, on triples of names, orders the sample by 72 bytes - more than asked.
@@ -36,11 +36,12 @@ from docloom.llm.common import chunked, saved, table
 from docloom.llm.matching import dealt, found_in, gram_hashes, joined, minimizers, mixed, spread
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
+AGAIN_GRAM = 40
 LETTER = 8
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
-PIECE_ANCHORS = 16
+PIECE_ANCHORS = 4
 _SIGN = np.uint64(1 << 63)
 
 
@@ -56,16 +57,18 @@ def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 class _Chunk:
     """The documents of a chunk laid end to end, and the places where judged strings may start."""
 
-    def __init__(self, rows: pa.Table, length: int):
+    def __init__(self, rows: pa.Table, length: int, judged: pa.Table | None = None):
+        if judged is not None:
+            rows = rows.filter(pa.compute.is_in(rows.column("row"), pa.compute.unique(judged.column("row"))))
         rows = rows.sort_by("row")
         self.row, self.doc = rows.column("row").to_numpy(), rows.column("doc").to_numpy()
         self.ids, self.texts = rows.column("doc_id").to_pylist(), [x.as_buffer().to_pybytes() for x in rows.column("text").cast(pa.binary()).combine_chunks()]
         self.length = length
         self.data, self.room, self.number, self.starts = _laid(self.texts)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, gram: int) -> tuple[np.ndarray, np.ndarray]:
         """The anchor of the string from each place, and where another one begins."""
-        least, _ = minimizers(gram_hashes(self.data.astype(np.uint64), GRAM, self.room), self.length - GRAM + 1)
+        least, _ = minimizers(gram_hashes(self.data.astype(np.uint64), gram, self.room), self.length - gram + 1)
         return least, np.concatenate([[True], (least[1:] != least[:-1]) | (self.number[1:] != self.number[:-1])])
 
     def judged(self, told: pa.Table | None) -> np.ndarray:
@@ -81,7 +84,7 @@ class _Chunk:
 
     def candidates(self, told: pa.Table, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Judged places whose anchor several documents share; anchors; where another anchor begins."""
-        least, new = self.hashes()
+        least, new = self.hashes(GRAM if every else AGAIN_GRAM)
         refs = np.unique(joined(told.column("hashes"), np.uint64))
         changes = np.flatnonzero(new)
         hit = np.repeat(found_in(least[changes], refs) >= 0, np.diff(np.append(changes, len(least))))
@@ -94,9 +97,9 @@ def _anchors(buckets: int, length: int, every: bool):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table | None) -> pa.Table:
         out = []
         with np.errstate(over="ignore"):
-            chunk = _Chunk(rows, length)
+            chunk = _Chunk(rows, length, told)
             if len(chunk.data):
-                least, new = chunk.hashes()
+                least, new = chunk.hashes(GRAM if every else AGAIN_GRAM)
                 judged = chunk.judged(told)
                 at = np.flatnonzero(judged & (new | ~np.concatenate([[False], judged[:-1]])))
                 order = np.lexsort((chunk.doc[chunk.number[at]], least[at]))
@@ -162,7 +165,7 @@ def _cut(length: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         with np.errstate(over="ignore"):
-            chunk = _Chunk(rows, length)
+            chunk = _Chunk(rows, length, told)
             if len(chunk.data) and told.num_rows:
                 hit, _, _ = chunk.candidates(told, every=False)
                 number = chunk.number
