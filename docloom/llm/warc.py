@@ -27,12 +27,21 @@ ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp":
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def sha1_base32(block: Column) -> Column:
     """'sha1:' and the Base32 digest of a text's UTF-8 bytes."""
-    digest = F.sha1(F.encode(block, "UTF-8"))
+    return F.concat(F.lit("sha1:"), _once(F.sha1(F.encode(block, "UTF-8")), _base32))
+
+
+def _base32(digest: Column) -> Column:
+    """Base32 of 40 hexadecimal digits."""
     digit = lambda i: F.conv(F.substring(digest, (F.floor(i / 4) * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("long")
     letter = lambda i: F.substring(F.lit(BASE32), (F.floor(digit(i) / F.element_at(F.array(*[F.lit(x) for x in (32768, 1024, 32, 1)]), (i % 4 + 1).cast("int"))) % 32 + 1).cast("int"), F.lit(1))
-    return F.concat(F.lit("sha1:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), ""))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
 
 def record_id(*parts: Column) -> Column:
@@ -43,6 +52,10 @@ def record_id(*parts: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named (those of ENTITIES) and numeric character references, each decoded once."""
+    return _once(text, _decoded)
+
+
+def _decoded(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decoded(part: Column) -> Column:
