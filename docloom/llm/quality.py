@@ -1,41 +1,61 @@
 """Quality rules: structural base rules and a hashed n-gram log-likelihood ratio.
 
 Word 1-grams and 2-grams are hashed into a fixed number of bins. Two multinomials are counted over
-the bins: one from the trusted documents, one from the whole corpus. A document's score is the mean
-over its n-grams of log(trusted/corpus); it is kept when the score reaches a fixed threshold. The
-counts of the corpus cover every document. The trusted documents are those labelled quality 1; of
-these at most TRUSTED_BOUND (in hash order) are used, so the list of their ids has a proven bound.
+the bins: one from the trusted documents (those labelled quality 1), one from the whole corpus; both
+cover every document. A document's score is the mean over its n-grams of log(trusted/corpus); it is
+kept when the score reaches a fixed threshold.
 
-Expressions only, no shuffle of texts. Repeated 3-word windows are found inside a row: each window is
+Each document is scored without its own counts (leave-one-out), so a trusted document scores just as
+it would with its label hidden. A bin's ratio is shrunk to 1 by PRIOR counts of the corpus, so a bin
+that no other document fills says nothing and the threshold means the same on small and large tables.
+
+Expressions only; labels meet documents in a plain join on doc_id. Repeated 3-word windows are found inside a row: each window is
 one number of hash and position, sorted, so that equal windows meet; those found are compared as
 words, and gaps between their sorted positions give the words covered.
 
 Defined results: null, empty and blank texts have no words, fail the base rules and are not kept;
-without trusted labels every score is 0 and the threshold does not reject; repeated rows are scored
+where no other document is trusted the score is 0 and the threshold does not reject; a null doc_id has
+no label; repeated rows are scored
 row by row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table, whole, words
 
 BINS = 65536
-TRUSTED_BOUND = 10_000
-SMOOTHING = 0.5
+#: Counts of the corpus that stand in each bin, at the overall share of trusted ones, before any is seen.
+PRIOR = 32
 MIN_SCORE = -0.12
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
+class Ratio(NamedTuple):
+    """Counts of the bins, over all documents and over the trusted ones, and the ids of the trusted."""
+
+    corpus: list[int]
+    trusted: list[int]
+    labels: DataFrame
+
+
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with is_trusted; null ids are spread by their text and match nothing."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return docs.join(labels, key == F.col("label_id"), "left").select(*docs.columns, (F.col("label_id").isNotNull() & F.col("doc_id").isNotNull()).alias("is_trusted"))
+
+
 def base_columns(docs: DataFrame) -> DataFrame:
-    """The row of docs itself, its words and the base figures."""
-    d = docs.select(F.struct("*").alias("row"), whole(F.col("text")).alias("text"), words(F.col("text")).alias("w"))
+    """docs: (row, text, is_trusted). The row itself, is_trusted, the hashes of its words and the base figures."""
+    d = docs.select("row", "is_trusted", whole(F.col("text")).alias("text"), words(F.col("text")).alias("w")).withColumn("h", word_hashes())
     bits = "cast(ceil(log2(size(w) + 1)) as int)"
     d = d.withColumn("b", F.expr(bits)).withColumn(
-        "codes", F.expr("case when size(w) < 4 then cast(array() as array<bigint>) else array_sort(transform(sequence(0, size(w) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | i)) end")
+        "codes", F.expr("case when size(h) < 4 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, size(h) - 3), i -> shiftleft(xxhash64(h[i], h[i + 1], h[i + 2]), b) | i)) end")
     )
     d = d.withColumn(
         "near",
@@ -55,7 +75,8 @@ def base_columns(docs: DataFrame) -> DataFrame:
     n = F.size("w").cast("long")
     return d.select(
         "row",
-        "w",
+        "is_trusted",
+        "h",
         n.alias("n_words"),
         F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.char_length(x)).alias("word_chars"),
         F.expr("cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as bigint)").alias("n_symbols"),
@@ -64,52 +85,56 @@ def base_columns(docs: DataFrame) -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def ngram_bins(w: str = "w", bins: int = BINS) -> Column:
-    """The bins of all word 1-grams and 2-grams of the array column w."""
-    one = f"transform({w}, x -> cast(pmod(xxhash64(x), {bins}) as int))"
-    two = f"case when size({w}) < 2 then cast(array() as array<int>) else transform(sequence(0, size({w}) - 2), i -> cast(pmod(xxhash64({w}[i], {w}[i + 1]), {bins}) as int)) end"
+def word_hashes(w: str = "w") -> Column:
+    return F.expr(f"transform({w}, x -> xxhash64(x))")
+
+
+def ngram_bins(h: str = "h", bins: int = BINS) -> Column:
+    """The bins of all word 1-grams and 2-grams, from the word hashes in the array column h."""
+    one = f"transform({h}, x -> cast(pmod(x, {bins}) as int))"
+    two = f"case when size({h}) < 2 then cast(array() as array<int>) else transform(sequence(0, size({h}) - 2), i -> cast(pmod(xxhash64({h}[i], {h}[i + 1]), {bins}) as int)) end"
     return F.expr(f"concat({one}, {two})")
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS, bound: int = TRUSTED_BOUND) -> list[float]:
-    """log(trusted/corpus) for each bin; what comes to the driver is a row for each bin at most."""
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("label_id")).distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(bound)
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("label_id"), "left").select(F.col("label_id").isNotNull().alias("is_trusted"), words(F.col("text")).alias("w"))
+def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> Ratio:
+    """The counts of each bin; what comes to the driver is a row for each bin at most."""
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id")).distinct()
+    hashed = marked(docs.select("doc_id", "text"), trusted).select("is_trusted", words(F.col("text")).alias("w")).select("is_trusted", word_hashes().alias("h"))
     counts = (
-        marked.select("is_trusted", F.explode(ngram_bins(bins=bins)).alias("bin"))
+        hashed.select("is_trusted", F.explode(ngram_bins(bins=bins)).alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("corpus"), F.sum(F.col("is_trusted").cast("long")).alias("trusted"))
         .collect()
     )
     by_bin = {r["bin"]: (r["corpus"], r["trusted"]) for r in counts}
-    n, m = sum(c for c, _ in by_bin.values()), sum(t for _, t in by_bin.values())
-    if not m:
-        return [0.0] * bins
-    from math import log
-
-    corpus_total, trusted_total = n + SMOOTHING * bins, m + SMOOTHING * bins
-    ratios = []
-    for b in range(bins):
-        c, t = by_bin.get(b, (0, 0))
-        # the corpus, scaled to the trusted size, is the prior of the trusted counts: rare bins stay near 0
-        prior = SMOOTHING * bins * (c + SMOOTHING) / corpus_total
-        ratios.append(log((t + prior) / trusted_total) - log((c + SMOOTHING) / corpus_total))
-    return ratios
-
-
-def score_documents(docs: DataFrame, ratios: list[float], min_score: float = MIN_SCORE) -> DataFrame:
-    """row (all columns of docs), the base columns, score and kept."""
-    weights = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    total = F.aggregate(ngram_bins(bins=len(ratios)), F.lit(0.0), lambda s, b: s + F.get(weights, b))
-    n = F.greatest(F.lit(1), 2 * F.size("w") - 1)
-    scored = base_columns(docs).withColumn("score", F.round(total / n, 6))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("w")
-
-
-def kept_documents(docs: DataFrame, ratios: list[float], min_score: float = MIN_SCORE) -> DataFrame:
+    return Ratio(*([by_bin.get(b, (0, 0))[x] for b in range(bins)] for x in (0, 1)), trusted)
+
+
+def score_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE) -> DataFrame:
+    """row (all columns of docs), the base columns, score and kept; docs are those that the ratio was fitted on."""
+    listed = lambda counts: F.split(F.lit(",".join(map(str, counts))), ",").cast("array<double>")
+    n, m = sum(ratio.corpus), sum(ratio.trusted)
+    with_row = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    d = base_columns(marked(with_row, ratio.labels)).withColumn("bins", F.sort_array(ngram_bins(bins=len(ratio.corpus))))
+    # the places where a new bin begins; a bin's own count is the gap to the next
+    d = d.withColumn("at", F.expr("case when size(bins) = 0 then cast(array() as array<int>) else filter(sequence(0, size(bins) - 1), i -> i = 0 or bins[i] <> bins[greatest(i - 1, 0)]) end"))
+    d = d.withColumn("own", F.when(F.col("is_trusted"), 1.0).otherwise(0.0)).withColumn("share", (m - F.col("own") * F.size("bins")) / F.greatest(F.lit(1), n - F.size("bins")))
+
+    def part(place: Column, j: Column) -> Column:
+        k = F.coalesce(F.get(F.col("at"), j + 1), F.size("bins")) - place
+        b = F.get(F.col("bins"), place)
+        trusted = F.get(listed(ratio.trusted), b) - F.col("own") * k + PRIOR * F.col("share")
+        return k * F.ln(trusted / (F.get(listed(ratio.corpus), b) - k + PRIOR))
+
+    total = F.aggregate(F.transform("at", part), F.lit(0.0), lambda s, x: s + x) - F.size("bins") * F.ln("share")
+    score = F.when((F.size("bins") > 0) & (F.col("share") > 0), F.round(total / F.size("bins"), 6)).otherwise(0.0)
+    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("h", "bins", "at", "own", "share", "is_trusted")
+
+
+def kept_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs that the rules keep."""
     # explode stands between the filter and the nested expressions, which the optimizer would else copy into the filter many times over
-    return score_documents(docs, ratios, min_score).select("row", F.explode(F.array("kept")).alias("stays")).where("stays").select("row.*")
+    return score_documents(docs, ratio, min_score).select("row", F.explode(F.array("kept")).alias("stays")).where("stays").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
