@@ -2,7 +2,7 @@
 
 Every document is a reference block. The index holds content-chosen anchors (the least of every GRAM
 consecutive GRAM-word hashes, so each window of 2 * GRAM - 1 words has one); an anchor found more than
-once refers to its first occurrence (smallest document, then place). A document is parsed greedily from
+once refers to its first occurrence (smallest row number, then place). A document is parsed greedily from
 left to right into factors: neighbouring anchors that point to the same block at the same shift extend a
 factor, and as anchors are at most GRAM words apart the whole factor is equal to the block's words. A
 factor of at least `window` words is a duplicate span, in the document and in its reference block.
@@ -16,7 +16,8 @@ Texts are stored once, bucketed by chunk; passes over it shuffle hashes only. Wi
 goes out at most twice and its answer comes back once, so common passages are pre-aggregated.
 
 Defined results: null or empty texts have no words and keep the empty text; texts shorter than a window
-lose nothing; repeated rows are copies of each other (all copies are removed); an empty table gives no
+lose nothing; repeated rows are copies of each other (all copies are removed); rows with null or repeated
+ids are documents of their own; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -40,7 +41,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _laid(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes end to end, words left from each place, document number and place of each; documents in order of doc_id."""
+    """Word hashes end to end, words left from each place, document number and place of each; documents in order of row_no."""
     column = rows.column("w").combine_chunks()
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -51,7 +52,7 @@ def _laid(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _ordered(rows: pa.Table) -> pa.Table:
-    return rows.sort_by("doc_id")
+    return rows.sort_by("row_no")
 
 
 OUT = "bucket int, chunk long, hashes binary, docs binary, places binary"
@@ -69,7 +70,7 @@ def _index(window: int, buckets: int):
             _, chosen = minimizers(h, gram)
             at = np.flatnonzero(chosen)
             at = at[at_most_two(h[at], np.argsort(h[at], kind="stable"))]
-            docs = rows.column("doc_id").to_numpy(zero_copy_only=False)
+            docs = rows.column("row_no").to_numpy(zero_copy_only=False)
             out = [(b, key[0].as_py(), h[at[i]].tobytes(), docs[number[at[i]]].tobytes(), place[at[i]].astype(np.int32).tobytes()) for b, i in dealt(h[at], buckets)]
         return _table(out, ["bucket", "chunk", "hashes", "docs", "places"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
@@ -105,7 +106,7 @@ def _refer(rows: pa.Table) -> pa.Table:
     return _table(out, ["chunk", "hashes", "docs", "places"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
 
-PARSED = "kind int, key long, chunk long, hashes binary, doc_id long, starts binary, ends binary"
+PARSED = "kind int, key long, chunk long, hashes binary, row_no long, starts binary, ends binary"
 
 
 def _parse(window: int, buckets: int):
@@ -117,7 +118,7 @@ def _parse(window: int, buckets: int):
         with np.errstate(over="ignore"):
             values, room, number, place, _ = _laid(rows)
             if len(values) and answers.num_rows:
-                docs = rows.column("doc_id").to_numpy(zero_copy_only=False)
+                docs = rows.column("row_no").to_numpy(zero_copy_only=False)
                 refs, ref_docs, ref_places = joined(answers.column("hashes"), np.uint64), joined(answers.column("docs"), np.int64), joined(answers.column("places"), np.int32)
                 order = np.argsort(refs, kind="stable")
                 refs, ref_docs, ref_places = refs[order], ref_docs[order], ref_places[order]
@@ -151,7 +152,7 @@ def _parse(window: int, buckets: int):
                 hashes = gram_hashes(values, window, room)[test]
                 hashes = hashes[at_most_two(hashes, np.argsort(hashes, kind="stable"))]
                 out += [(1, b, chunk, hashes[i].tobytes(), None, None, None) for b, i in dealt(hashes, buckets)]
-        return _table(out, ["kind", "key", "chunk", "hashes", "doc_id", "starts", "ends"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
+        return _table(out, ["kind", "key", "chunk", "hashes", "row_no", "starts", "ends"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 
     return run
 
@@ -171,7 +172,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha2
 def _remove(window: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, found: pa.Table) -> pa.Table:
         rows = _ordered(rows)
-        ids, texts = rows.column("doc_id").to_pylist(), rows.column("text")
+        ids, numbers, texts = rows.column("doc_id").to_pylist(), rows.column("row_no").to_pylist(), rows.column("text")
         with np.errstate(over="ignore"):
             values, room, number, _, starts = _laid(rows)
             gone = np.zeros(len(values), dtype=bool)
@@ -180,15 +181,12 @@ def _remove(window: int, with_text: bool):
                 if len(twice):
                     hits = np.flatnonzero(found_in(gram_hashes(values, window, room), twice) >= 0)
                     gone |= spread(hits, hits + window, len(values))
-                base = {}
-                for d, s in zip(ids, starts.tolist(), strict=True):
-                    base.setdefault(d, []).append(s)
+                base = dict(zip(numbers, starts.tolist(), strict=True))
                 begin, end = [], []
-                for doc_id, s, e in zip(found.column("doc_id").to_pylist(), found.column("starts").to_pylist(), found.column("ends").to_pylist(), strict=True):
-                    if doc_id is not None:
-                        for offset in base.get(doc_id, ()):
-                            begin.append(np.array(s, dtype=np.int64) + offset)
-                            end.append(np.array(e, dtype=np.int64) + offset)
+                for row_no, s, e in zip(found.column("row_no").to_pylist(), found.column("starts").to_pylist(), found.column("ends").to_pylist(), strict=True):
+                    if row_no is not None:
+                        begin.append(np.array(s, dtype=np.int64) + base[row_no])
+                        end.append(np.array(e, dtype=np.int64) + base[row_no])
                 if begin:
                     gone |= spread(np.concatenate(begin), np.concatenate(end), len(values))
         lengths = rows.column("w").combine_chunks().value_lengths().to_pylist()
@@ -206,21 +204,22 @@ def _remove(window: int, with_text: bool):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256: words of windows found twice are removed."""
-    stored, total = chunked(docs, CHUNK_BYTES)
+    # the numbers are written with the table, so they stay the same in every pass
+    stored, total = chunked(docs.withColumn("row_no", F.monotonically_increasing_id()), CHUNK_BYTES, extra=("row_no",))
     buckets = int(max(24, total // BUCKET_BYTES))
-    hashed = stored.select("chunk", "doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    hashed = stored.select("chunk", "row_no", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     anchors = hashed.groupBy("chunk").applyInArrow(_index(window, buckets), OUT)
     answers = saved(anchors.groupBy("bucket").applyInArrow(_refer, ANSWER))
     parsed = saved(hashed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_parse(window, buckets), PARSED))
     twice = parsed.where("kind = 1").select("key", "chunk", "hashes").groupBy("key").applyInArrow(_twice, "chunk long, hashes binary")
-    pairs = parsed.where("kind = 0").select("doc_id", "starts", "ends").mapInArrow(_pairs, "doc_id long, start int, end int")
-    spans = pairs.groupBy("doc_id", "start").agg(F.max("end").alias("end"))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    pairs = parsed.where("kind = 0").select("row_no", "starts", "ends").mapInArrow(_pairs, "row_no long, start int, end int")
+    spans = pairs.groupBy("row_no", "start").agg(F.max("end").alias("end"))
+    by_doc = spans.groupBy("row_no").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     # a span goes to the chunk of its document
-    places = stored.select("doc_id", "chunk").distinct()
-    told = by_doc.join(places, "doc_id").select("chunk", F.lit(None).cast("binary").alias("hashes"), "doc_id", "starts", "ends")
-    found = twice.select("chunk", "hashes", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends")).unionByName(told)
-    ready = stored.select("chunk", "doc_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    places = stored.select("row_no", "chunk")
+    told = by_doc.join(places, "row_no").select("chunk", F.lit(None).cast("binary").alias("hashes"), "row_no", "starts", "ends")
+    found = twice.select("chunk", "hashes", F.lit(None).cast("long").alias("row_no"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends")).unionByName(told)
+    ready = stored.select("chunk", "row_no", "doc_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     return ready.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(window, with_text), RESULT)
 
 
@@ -231,7 +230,7 @@ def _pairs(batches):
         counts = [len(x) // 4 for x in starts]
         ids = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), counts)
         s, e = np.frombuffer(b"".join(starts), dtype=np.int32), np.frombuffer(b"".join(ends), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s), pa.array(e)], ["doc_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s), pa.array(e)], ["row_no", "start", "end"])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Cases of the first review: each failed before its operator did the whole job."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import quality
+from docloom.llm import quality, substring_dedup
 
 SMALL = ["0.001", "0.01", "0.1"]
 
@@ -37,3 +40,20 @@ def test_quality_counts_every_trusted_document(spark):
     docs = spark.range(10_400).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"))
     assert sum(quality.fit_ratio(docs, labels, bins=8).trusted) == 3 * 10_400
+
+
+def test_substring_dedup_with_null_and_repeated_ids(spark):
+    r = random.Random(3)
+    make = lambda n: [f"v{r.randrange(3000)}" for _ in range(n)]
+    passages, window = [make(40), make(60)], 9
+    texts = [make(r.randrange(20)) + passages[i % 2] + make(r.randrange(20)) for i in range(8)] + [make(80) for _ in range(6)]
+    texts += [texts[8] + texts[8][:30], texts[9], []]
+    ids = [None if i % 4 == 0 else 3 if i % 4 == 1 else i for i in range(len(texts))]
+    counts = Counter(tuple(w[j : j + window]) for w in texts for j in range(len(w) - window + 1))
+    want = []
+    for i, w in zip(ids, texts, strict=True):
+        gone = {x for j in range(len(w) - window + 1) if counts[tuple(w[j : j + window])] > 1 for x in range(j, j + window)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in zip(ids, texts, strict=True)], "doc_id long, text string").repartition(3)
+    got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]) for x in substring_dedup.dedup_substrings(docs, window).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
