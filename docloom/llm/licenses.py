@@ -8,6 +8,12 @@ fitted on held-out examples calibrates the probabilities. A predicted family cou
 paragraph also compares well with one of its templates (share of the template's 3-grams found, or of
 a cut template's span), so the classifier proposes and the template confirms.
 
+Forms too short for 3-grams are found by their sequence of tokens instead, with probability and
+similarity 1: a title that is the whole paragraph, an SPDX line (by its first identifier), the phrase
+'All rights reserved'. A line of fewer than WRAPPED tokens that the classifier leaves out, next to a
+line found in the same document (blank lines aside), belongs to that line's notice if a template of its
+family holds the line's sequence.
+
 Training reads at most SAMPLE paragraphs; scanning reads every paragraph of every document.
 
 Defined results: null and empty texts have no paragraphs; a document without licences gives no row;
@@ -33,6 +39,7 @@ SAMPLE = 4000
 VARIANTS = 60
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
+WRAPPED = 8
 UNKNOWN = "unknown"
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 FOUND = "doc_id long, paragraph_no int, family string, probability double, similarity double, paragraph string"
@@ -109,6 +116,25 @@ TEMPLATES = {
 }
 
 
+#: Titles that are a paragraph of their own, the phrase found anywhere, and SPDX identifiers by their beginning.
+TITLES = {
+    "AGPL-3.0": ["GNU Affero General Public License", "GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "GNU AGPL v3"],
+    "Apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0"],
+    "BSD": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "New BSD License", "Simplified BSD License"],
+    "CC-BY": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC0": ["CC0", "CC0 1.0", "CC0 1.0 Universal"],
+    "GPL": ["GNU General Public License", "GNU General Public License, version 2", "GNU General Public License, version 3", "GNU GPL v2", "GNU GPL v3"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "GNU LGPL v3"],
+    "MIT": ["MIT License", "MIT License (MIT)", "Expat License"],
+    "MPL-2.0": ["Mozilla Public License", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+}
+RESERVED = ("all", "rights", "reserved")
+SPDX = "spdx-license-identifier"
+SPDX_IDS = [("agpl-3.0", "AGPL-3.0"), ("apache-2.0", "Apache-2.0"), ("bsd-", "BSD"), ("cc-by-nc-", "CC-BY-NC"), ("cc-by-sa-", "CC-BY-SA"), ("cc-by-", "CC-BY"), ("cc0-", "CC0"), ("lgpl-", "LGPL"), ("gpl-", "GPL"), ("mit", "MIT"), ("mpl-2.0", "MPL-2.0")]
+
+
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -117,6 +143,24 @@ def ngrams(w: list[str]) -> list[tuple]:
     return [*zip(w, w[1:], strict=False), *zip(w, w[1:], w[2:], strict=False)]
 
 
+def holds(w: list[str], part: tuple | list[str]) -> bool:
+    """Whether the token sequence w holds part."""
+    part = list(part)
+    return any(x == part[0] and w[i : i + len(part)] == part for i, x in enumerate(w))
+
+
+BY_TITLE = {start + tuple(tokens(t)): f for f, titles in TITLES.items() for t in titles for start in ((), ("the",))}
+
+
+def short_form(w: list[str]) -> str | None:
+    """The family of a title, an SPDX line or a paragraph with the phrase RESERVED."""
+    if found := BY_TITLE.get(tuple(w)):
+        return found
+    if SPDX in w and (rest := w[w.index(SPDX) + 1 :]):
+        return next((f for start, f in SPDX_IDS if rest[0] == start or start.endswith("-") and rest[0].startswith(start) or rest[0].startswith(start + "-")), None)
+    return "proprietary" if "reserved" in w and holds(w, RESERVED) else None
+
+
 class Model:
     """Sparse weights: n-gram -> row; softmax over families (the last is unknown)."""
 
@@ -143,6 +187,25 @@ class Model:
     def scan(self, paragraph: str) -> tuple[str, float, float] | None:
         """Family, calibrated probability and template similarity; None where it is unknown or not confirmed."""
         w = tokens(paragraph)
+        if found := self.proposed(w):
+            return found
+        family = short_form(w)
+        return (family, 1.0, 1.0) if family else None
+
+    def scan_lines(self, lines: list[str]) -> dict[int, tuple[str, float, float]]:
+        """What scan finds, by line number, with the short lines of wrapped notices next to it."""
+        found = {i: x for i, line in enumerate(lines) if (x := self.scan(line))}
+        if not found:
+            return found
+        filled = [i for i, line in enumerate(lines) if line.strip()]
+        for order in (filled, filled[::-1]):
+            for a, b in zip(order, order[1:], strict=False):
+                if a in found and b not in found and 0 < len(w := tokens(lines[b])) < WRAPPED and any(holds(t, w) for _, t in self.templates[found[a][0]]):
+                    found[b] = (found[a][0], found[a][1], 1.0)
+        return dict(sorted(found.items()))
+
+    def proposed(self, w: list[str]) -> tuple[str, float, float] | None:
+        """The classifier's family, if a template confirms it."""
         if self.heads.isdisjoint(w):
             return None
         grams = set(ngrams(w))
@@ -245,18 +308,18 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scan(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = model.value.scan
+        scan = model.value.scan_lines
         for batch in batches:
             doc_ids, numbers, families, chances, alikes, paragraphs = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, paragraph in enumerate((text.as_py() or "").split("\n")):
-                    if found := scan(paragraph):
-                        doc_ids.append(doc_id)
-                        numbers.append(number)
-                        families.append(found[0])
-                        chances.append(found[1])
-                        alikes.append(found[2])
-                        paragraphs.append(paragraph)
+                lines = (text.as_py() or "").split("\n")
+                for number, found in scan(lines).items():
+                    doc_ids.append(doc_id)
+                    numbers.append(number)
+                    families.append(found[0])
+                    chances.append(found[1])
+                    alikes.append(found[2])
+                    paragraphs.append(lines[number])
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string()]
             columns = [doc_ids, numbers, families, chances, alikes, paragraphs]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "paragraph_no", "family", "probability", "similarity", "paragraph"])

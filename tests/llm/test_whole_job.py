@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import quality, substring_dedup
+from docloom.llm import licenses, quality, substring_dedup
 
 SMALL = ["0.001", "0.01", "0.1"]
 
@@ -57,3 +57,22 @@ def test_substring_dedup_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in zip(ids, texts, strict=True)], "doc_id long, text string").repartition(3)
     got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]) for x in substring_dedup.dedup_substrings(docs, window).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_licenses_in_short_forms():
+    model = licenses.train(["nothing to see here at all", "some words of an ordinary text about the weather"] * 20)
+    forms = {"All rights reserved.": "proprietary", "Copyright 2024 Someone. All rights reserved.": "proprietary"}
+    forms |= {t: f for f, titles in licenses.TITLES.items() for t in titles} | {"The MIT License (MIT)": "MIT"}
+    ids = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD", "GPL-2.0-only": "GPL", "LGPL-2.1-or-later": "LGPL", "AGPL-3.0-only": "AGPL-3.0"}
+    ids |= {"CC-BY-4.0": "CC-BY", "CC-BY-NC-4.0": "CC-BY-NC", "CC-BY-SA-4.0": "CC-BY-SA", "CC0-1.0": "CC0", "MPL-2.0": "MPL-2.0"}
+    forms |= {f"// SPDX-License-Identifier: {x}": f for x, f in ids.items()}
+    assert {x: (model.scan(x) or (None,))[0] for x in forms} == forms
+    for plain in ("The rights of all were reserved for later.", "the license", "SPDX-License-Identifier:", "We met at MIT."):
+        assert model.scan(plain) is None, plain
+
+
+def test_licenses_wrapped_over_short_lines():
+    model = licenses.train(["nothing to see here at all", "some words of an ordinary text about the weather"] * 20)
+    notice = ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file", "", "except in compliance", "with the License."]
+    found = model.scan_lines(["with the rain", *notice, "of the weather"])
+    assert {i: x[0] for i, x in found.items()} == dict.fromkeys((1, 2, 4, 5), "Apache-2.0")
