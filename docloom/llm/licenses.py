@@ -10,7 +10,7 @@ a cut template's span), so the classifier proposes and the template confirms.
 
 Forms too short for 3-grams are found by their sequence of tokens instead, with probability and
 similarity 1: a title that is the whole paragraph, an SPDX line (by its first identifier), the phrase
-'All rights reserved'. A line of fewer than WRAPPED tokens that the classifier leaves out, next to a
+'All rights reserved'. A line of 2 to WRAPPED - 1 tokens (one word alone proves nothing) that the classifier leaves out, next to a
 line found in the same document (blank lines aside), belongs to that line's notice if a template of its
 family holds the line's sequence.
 
@@ -200,7 +200,7 @@ class Model:
         filled = [i for i, line in enumerate(lines) if line.strip()]
         for order in (filled, filled[::-1]):
             for a, b in zip(order, order[1:], strict=False):
-                if a in found and b not in found and 0 < len(w := tokens(lines[b])) < WRAPPED and any(holds(t, w) for _, t in self.templates[found[a][0]]):
+                if a in found and b not in found and 1 < len(w := tokens(lines[b])) < WRAPPED and any(holds(t, w) for _, t in self.templates[found[a][0]]):
                     found[b] = (found[a][0], found[a][1], 1.0)
         return dict(sorted(found.items()))
 
