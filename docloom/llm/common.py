@@ -50,20 +50,22 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunked(docs: DataFrame, chunk_bytes: int, buckets: int | None = None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(doc_id, text, extra columns, chunk) as a table bucketed by chunk, and its total of text bytes.
+def chunked(docs: DataFrame, chunk_bytes: int, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(doc_id, text, extra columns, row, chunk) as a table bucketed by chunk, and its total of text bytes.
 
-    A chunk is a set of whole documents of about chunk_bytes together (chosen by hash, so copies and hot
-    sources are spread). Grouping this table by chunk needs no further shuffle of texts.
+    A chunk is a set of whole documents of one input partition, of about chunk_bytes together, chosen by the
+    row number (a long of its own for each row), so texts are not shuffled to make chunks. Grouping this table
+    by chunk shuffles no texts either.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"), *extra)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-total // chunk_bytes))
-    buckets = buckets or int(min(4096, max(24, total // (32 << 20))))
+    parts = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text")).alias("n"))
+    total, most = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    cuts = max(1, -(-most // chunk_bytes))
+    buckets = int(min(4096, max(24, total // (32 << 20))))
     name = f"docloom_{uuid.uuid4().hex}"
-    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)))
-    placed.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").saveAsTable(name)
+    placed = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("chunk", F.spark_partition_id().cast("long") * cuts + F.pmod(F.xxhash64("row"), F.lit(cuts)))
+    placed.write.bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name), total
 
 

@@ -47,12 +47,17 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(cur[: len(cur) - (w - size)], cur[w - size :]) if w > size else cur
 
 
+def least_of(h: np.ndarray, w: int) -> np.ndarray:
+    """The least hash among the w grams from each place; MAX where fewer than w follow."""
+    least = np.full(len(h), MAX, dtype=np.uint64)
+    if len(h) >= w:
+        least[: len(h) - w + 1] = _sliding(h, w, np.minimum)
+    return least
+
+
 def minimizers(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """The least hash among the w grams from each place (MAX where the window is cut), and which places hold one."""
-    n = len(h)
-    least = np.full(n, MAX, dtype=np.uint64)
-    if n >= w:
-        least[: n - w + 1] = _sliding(h, w, np.minimum)
+    least = least_of(h, w)
     usable = least.copy()
     usable[least == MAX] = 0
     before = np.concatenate([np.zeros(w - 1, dtype=np.uint64), usable])

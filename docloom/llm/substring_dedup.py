@@ -204,8 +204,9 @@ def _remove(window: int, with_text: bool):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256: words of windows found twice are removed."""
-    # the numbers are written with the table, so they stay the same in every pass
-    stored, total = chunked(docs.withColumn("row_no", F.monotonically_increasing_id()), CHUNK_BYTES, extra=("row_no",))
+    # the row numbers are written with the table, so they stay the same in every pass
+    stored, total = chunked(docs, CHUNK_BYTES)
+    stored = stored.withColumnRenamed("row", "row_no")
     buckets = int(max(24, total // BUCKET_BYTES))
     hashed = stored.select("chunk", "row_no", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     anchors = hashed.groupBy("chunk").applyInArrow(_index(window, buckets), OUT)

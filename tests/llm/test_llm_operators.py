@@ -156,7 +156,9 @@ def test_suffix_array(docs, rows, empty):
     assert suffix_array.dedup_repeats(empty).count() == 0
 
 
-def test_suffix_array_with_copies_repeated_and_null_ids(spark):
+@pytest.mark.parametrize("hot", [suffix_array.HOT, 3])
+def test_suffix_array_with_copies_repeated_and_null_ids(monkeypatch, spark, hot):
+    monkeypatch.setattr(suffix_array, "HOT", hot)
     r = random.Random(5)
     make = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
     long, passages = make(3000), [make(n) for n in (49, 50, 51, 90, 400)]
