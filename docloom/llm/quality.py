@@ -9,9 +9,10 @@ Each document is scored without its own counts (leave-one-out), so a trusted doc
 it would with its label hidden. A bin's ratio is shrunk to 1 by PRIOR counts of the corpus, so a bin
 that no other document fills says nothing and the threshold means the same on small and large tables.
 
-Expressions only; labels meet documents in a plain join on doc_id. Repeated 3-word windows are found inside a row: each window is
-one number of hash and position, sorted, so that equal windows meet; those found are compared as
-words, and gaps between their sorted positions give the words covered.
+Expressions only. Labels meet documents in a join on doc_id, with the ids broadcast while they are at most
+MOST_BROADCAST. Repeated 3-word windows are found inside a row: each window is one number of hash and
+position, sorted, so that equal windows meet; those found are compared as words, and gaps between their
+sorted positions give the words covered.
 
 Defined results: null, empty and blank texts have no words, fail the base rules and are not kept;
 where no other document is trusted the score is 0 and the threshold does not reject; a null doc_id has
@@ -21,16 +22,19 @@ row by row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from math import log
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table, whole, words
+from docloom.llm.common import saved, table, whole, words
 
 BINS = 65536
 #: Counts of the corpus that stand in each bin, at the overall share of trusted ones, before any is seen.
 PRIOR = 32
+#: Trusted ids that are broadcast; where there are more, documents and ids meet in a shuffled join.
+MOST_BROADCAST = 2_000_000
 MIN_SCORE = -0.12
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -51,16 +55,18 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """docs: (row, text, is_trusted). The row itself, is_trusted, the hashes of its words and the base figures."""
-    d = docs.select("row", "is_trusted", whole(F.col("text")).alias("text"), words(F.col("text")).alias("w")).withColumn("h", word_hashes())
+    """docs: (row, text, is_trusted). The row itself, is_trusted, the hashes of its words and word pairs and the base figures."""
+    d = docs.select("row", "is_trusted", whole(F.col("text")).alias("text"), words(F.col("text")).alias("w")).withColumn("h", word_hashes()).withColumn("g", pair_hashes())
+    d = d.withColumn("triples", F.expr("zip_with(slice(g, 1, greatest(size(g) - 1, 0)), slice(h, 3, greatest(size(h) - 2, 0)), (x, y) -> xxhash64(x, y))"))
+    # most texts have no triple twice, and the sorting below is for the others
     bits = "cast(ceil(log2(size(w) + 1)) as int)"
     d = d.withColumn("b", F.expr(bits)).withColumn(
-        "codes", F.expr("case when size(h) < 4 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, size(h) - 3), i -> shiftleft(xxhash64(h[i], h[i + 1], h[i + 2]), b) | i)) end")
+        "codes", F.expr("case when size(array_distinct(triples)) = size(triples) then cast(array() as array<bigint>) else sort_array(transform(triples, (x, i) -> shiftleft(x, b) | i)) end")
     )
     d = d.withColumn(
         "near",
         F.expr(
-            "transform(filter(codes, (c, i) -> (i > 0 and shiftright(c, b) = shiftright(codes[greatest(i - 1, 0)], b)) or (i < size(codes) - 1 and shiftright(c, b) = shiftright(codes[least(i + 1, size(codes) - 1)], b))),"
+            "transform(filter(codes, (c, i) -> shiftright(c, b) = shiftright(get(codes, i + 1), b) or (i > 0 and shiftright(c, b) = shiftright(codes[greatest(i - 1, 0)], b))),"
             " c -> cast(c & (shiftleft(1L, b) - 1) as int))"
         ),
     )
@@ -77,8 +83,9 @@ def base_columns(docs: DataFrame) -> DataFrame:
         "row",
         "is_trusted",
         "h",
+        "g",
         n.alias("n_words"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.char_length(x)).alias("word_chars"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.expr("cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as bigint)").alias("n_symbols"),
         (F.size(with_words) - F.size(F.array_distinct(with_words))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
@@ -89,19 +96,24 @@ def word_hashes(w: str = "w") -> Column:
     return F.expr(f"transform({w}, x -> xxhash64(x))")
 
 
-def ngram_bins(h: str = "h", bins: int = BINS) -> Column:
-    """The bins of all word 1-grams and 2-grams, from the word hashes in the array column h."""
-    one = f"transform({h}, x -> cast(pmod(x, {bins}) as int))"
-    two = f"case when size({h}) < 2 then cast(array() as array<int>) else transform(sequence(0, size({h}) - 2), i -> cast(pmod(xxhash64({h}[i], {h}[i + 1]), {bins}) as int)) end"
-    return F.expr(f"concat({one}, {two})")
+def pair_hashes(h: str = "h") -> Column:
+    """For each word but the last the hash of it and the next, from the word hashes in the array column h."""
+    return F.expr(f"zip_with(slice({h}, 1, greatest(size({h}) - 1, 0)), slice({h}, 2, greatest(size({h}) - 1, 0)), (x, y) -> xxhash64(x, y))")
+
+
+def ngram_bins(bins: int = BINS, h: str = "h", g: str = "g") -> Column:
+    """The bins of all word 1-grams and 2-grams, from the hashes of words and of word pairs."""
+    return F.expr(f"transform(concat({h}, {g}), x -> cast(pmod(x, {bins}) as int))")
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> Ratio:
     """The counts of each bin; what comes to the driver is a row for each bin at most."""
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id")).distinct()
-    hashed = marked(docs.select("doc_id", "text"), trusted).select("is_trusted", words(F.col("text")).alias("w")).select("is_trusted", word_hashes().alias("h"))
+    trusted = saved(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id")).distinct())
+    if trusted.count() <= MOST_BROADCAST:
+        trusted = F.broadcast(trusted)
+    hashed = marked(docs.select("doc_id", "text"), trusted).select("is_trusted", words(F.col("text")).alias("w")).select("is_trusted", word_hashes().alias("h")).withColumn("g", pair_hashes())
     counts = (
-        hashed.select("is_trusted", F.explode(ngram_bins(bins=bins)).alias("bin"))
+        hashed.select("is_trusted", F.explode(ngram_bins(bins)).alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("corpus"), F.sum(F.col("is_trusted").cast("long")).alias("trusted"))
         .collect()
@@ -111,24 +123,34 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> Ratio:
 
 
 def score_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE) -> DataFrame:
-    """row (all columns of docs), the base columns, score and kept; docs are those that the ratio was fitted on."""
-    listed = lambda counts: F.split(F.lit(",".join(map(str, counts))), ",").cast("array<double>")
-    n, m = sum(ratio.corpus), sum(ratio.trusted)
+    """row (all columns of docs), the base columns, score and kept; docs are those that the ratio was fitted on.
+
+    Every n-gram first counts as the document's only one of its bin; bins with k > 1 of them, found as
+    neighbours in the sorted bins, are then set right.
+    """
+    listed = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    corpus, trusted, n, m = listed(ratio.corpus), listed(ratio.trusted), sum(ratio.corpus), sum(ratio.trusted)
+    once = listed([log(max(1, c) - 1 + PRIOR) for c in ratio.corpus])
     with_row = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    d = base_columns(marked(with_row, ratio.labels)).withColumn("bins", F.sort_array(ngram_bins(bins=len(ratio.corpus))))
-    # the places where a new bin begins; a bin's own count is the gap to the next
-    d = d.withColumn("at", F.expr("case when size(bins) = 0 then cast(array() as array<int>) else filter(sequence(0, size(bins) - 1), i -> i = 0 or bins[i] <> bins[greatest(i - 1, 0)]) end"))
-    d = d.withColumn("own", F.when(F.col("is_trusted"), 1.0).otherwise(0.0)).withColumn("share", (m - F.col("own") * F.size("bins")) / F.greatest(F.lit(1), n - F.size("bins")))
-
-    def part(place: Column, j: Column) -> Column:
-        k = F.coalesce(F.get(F.col("at"), j + 1), F.size("bins")) - place
-        b = F.get(F.col("bins"), place)
-        trusted = F.get(listed(ratio.trusted), b) - F.col("own") * k + PRIOR * F.col("share")
-        return k * F.ln(trusted / (F.get(listed(ratio.corpus), b) - k + PRIOR))
-
-    total = F.aggregate(F.transform("at", part), F.lit(0.0), lambda s, x: s + x) - F.size("bins") * F.ln("share")
+    d = base_columns(marked(with_row, ratio.labels)).withColumn("bins", F.sort_array(ngram_bins(len(ratio.corpus)))).drop("h", "g")
+    d = d.withColumn("repeats", F.expr("filter(bins, (b, i) -> b = get(bins, i + 1))"))
+    d = d.withColumn("at", F.expr("case when size(repeats) = 0 then cast(array() as array<int>) else filter(sequence(0, size(repeats) - 1), i -> i = 0 or repeats[i] <> repeats[greatest(i - 1, 0)]) end"))
+    own = F.when(F.col("is_trusted"), 1.0).otherwise(0.0)
+    d = d.withColumn("own", own).withColumn("share", (m - F.col("own") * F.size("bins")) / F.greatest(F.lit(1), n - F.size("bins")))
+    d = d.withColumn("one", F.lit(float(PRIOR)) * F.col("share") - F.col("own"))
+
+    def alone(b: Column) -> Column:
+        return F.ln(F.get(trusted, b) + F.col("one")) - F.get(once, b)
+
+    def correction(place: Column, j: Column) -> Column:
+        k = F.coalesce(F.get(F.col("at"), j + 1), F.size("repeats")) - place + 1
+        b = F.get(F.col("repeats"), place)
+        return k * (F.ln((F.get(trusted, b) - F.col("own") * k + PRIOR * F.col("share")) / (F.get(corpus, b) - k + PRIOR)) - alone(b))
+
+    zero = F.lit(0.0)
+    total = F.aggregate("bins", zero, lambda s, b: s + alone(b)) + F.aggregate(F.transform("at", correction), zero, lambda s, x: s + x) - F.size("bins") * F.ln("share")
     score = F.when((F.size("bins") > 0) & (F.col("share") > 0), F.round(total / F.size("bins"), 6)).otherwise(0.0)
-    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("h", "bins", "at", "own", "share", "is_trusted")
+    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("bins", "repeats", "at", "own", "share", "one", "is_trusted")
 
 
 def kept_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE) -> DataFrame:
