@@ -7,12 +7,14 @@ clamp/weight this fixed point has a closed form, so no driver loop is needed.
 
 Documents of a source stand in a seeded hash order. Each is taken floor(target/size) whole times; the
 fraction that is left takes whole documents in hash order until the target is met, the last one in part.
-The running sum is two-level (buckets of the hash, then rows in a bucket), so a source with a third of
-all rows is spread over many tasks.
+Where the fraction ends is found in two levels (sums of buckets of the hash, then the rows of one bucket),
+so each row is decided by comparing it with one row of its source; texts are never shuffled and a source
+with a third of all rows is spread over all tasks.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source of
-size 0 gets target 0; an empty table gives no rows; repeated rows are documents of their own; other
-columns are ignored.
+size 0 gets target 0; an empty table gives no rows; repeated rows and rows with a null id are documents of
+their own, ordered by size and text where ids are the same, and rows the same in id and text at which the
+fraction ends share its words; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Leading hex digits of the order hash that make a bucket.
-BUCKET_DIGITS = 3
+#: Rows that a bucket of the order hash holds, about.
+BUCKET_ROWS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -51,45 +53,73 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def _order_key(seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _keyed(docs: DataFrame, seed: str, digits: int) -> DataFrame:
+    """docs with each row's place in its source: __at (order hash), __print (settles ties of ids) and __bucket."""
+    at = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.withColumns({"__at": at, "__print": F.xxhash64("text")}).withColumn("__bucket", F.left("__at", F.lit(digits)))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes."""
-    rows = saved(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")).withColumn("at", _order_key(seed)).withColumn("bucket", F.left("at", F.lit(BUCKET_DIGITS))))
-    buckets = saved(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
+def _size() -> Column:
+    return F.size(words(F.col("text"))).cast("long")
+
+
+def cutoffs(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float, seed: str) -> DataFrame:
+    """For each source its target, the whole times that its documents are taken and the document at which the fraction ends.
+
+    Sums are by (source, bucket of the order hash); only the rows of the one bucket of a source in which the
+    fraction ends are ordered one by one.
+    """
+    digits = min(8, max(1, (docs.count() // BUCKET_ROWS).bit_length() // 4 + 1))
+    slim = _keyed(docs.select("doc_id", "source", "text"), seed, digits)
+    buckets = saved(slim.groupBy("source", "__bucket").agg(F.sum(_size()).alias("bucket_size")))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
+    times = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
+    targets = saved(targets.withColumn("times", times.cast("long")).withColumn("part", F.round("target").cast("long") - F.col("times") * F.col("source_size")))
+    running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = (
         buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
         .alias("b")
         .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
-        .select(F.col("b.source").alias("plan_source"), F.col("bucket").alias("plan_bucket"), "before", "source_size", "target")
+        .where("part > before and part <= before + bucket_size")
+        .select(F.col("b.source").alias("edge_source"), F.col("__bucket").alias("edge_bucket"), "before", "part")
+    )
+    here = slim.join(edge, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("__bucket") == F.col("edge_bucket")))
+    rows = here.select("edge_source", "before", "part", "__at", "__print", _size().alias("__size")).groupBy("edge_source", "before", "part", "__at", "__size", "__print").agg(F.count("*").alias("same"))
+    within = Window.partitionBy("edge_source").orderBy("__at", "__size", "__print").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("__size") * F.col("same")).over(within), F.lit(0))
+    last = rows.withColumn("start", start).where("part > start and part <= start + __size * same")
+    # rows that are the same in id and text share what is left
+    last = last.select("edge_source", F.struct("__at", "__size", "__print").alias("last_key"), F.floor((F.col("part") - F.col("start")) / F.col("same")).alias("last_words"))
+    return saved(
+        targets.join(last, F.col("source").eqNullSafe(F.col("edge_source")), "left").select(F.col("source").alias("plan_source"), "source_size", "target", "times", "last_key", "last_words")
     )
-    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("bucket") == F.col("plan_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    whole_times = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    left = F.round(F.col("target")).cast("long") - whole_times * F.col("source_size")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("start")))
-    return placed.withColumn("start", start).select("doc_id", "source", "size", "source_size", "target", (whole_times * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """docs with __size, source_size, target and __taken: how many words of each row the mix takes. Rows meet one row for each source."""
+    rows = _keyed(docs.select(F.struct("*").alias("__row"), "doc_id", "source", "text"), seed, 1).withColumn("__size", _size())
+    rows = rows.join(cutoffs(docs, weights, share, max_epochs, seed), F.col("source").eqNullSafe(F.col("plan_source")))
+    key = F.struct("__at", "__size", "__print")
+    extra = F.when(F.col("last_key").isNull() | (key > F.col("last_key")), F.lit(0)).when(key == F.col("last_key"), F.col("last_words")).otherwise(F.col("__size"))
+    return rows.withColumn("__taken", (F.col("times") * F.col("__size") + extra).cast("long"))
+
+
+def mix_plan(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes."""
+    return _planned(docs, **settings).select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", F.col("__taken").alias("taken"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of docs: whole repetitions as repeated rows, a part as the text's first words."""
-    columns = docs.columns
-    numbered = docs.withColumn("__words", words(F.col("text")))
-    plan = mix_plan(docs, **settings).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct("size", "taken")).alias("__plan"))
-    joined = numbered.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    times = F.ceil(F.col("__plan.taken") / F.col("__plan.size")).cast("int")
-    rows = joined.where(F.col("__plan.taken") > 0).withColumn("__time", F.explode(F.sequence(F.lit(1), times)))
-    left = F.col("__plan.taken") - (F.col("__time") - 1) * F.col("__plan.size")
-    text = F.when(left >= F.col("__plan.size"), F.col("text")).otherwise(F.array_join(F.slice("__words", 1, left.cast("int")), " "))
-    out = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    taken, size = F.col("__taken"), F.col("__size")
+    rows = _planned(docs, **settings).where(taken > 0).withColumn("__time", F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
+    left = taken - (F.col("__time") - 1) * size
+    text = F.when(left >= size, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, left.cast("int")), " "))
+    out = rows.select("__row.*", text.alias("__text"))
+    changed = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(changed).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
