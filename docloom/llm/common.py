@@ -34,19 +34,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is named (tests), one is made and set."""
+    """The folder that driver and executors share; where none is named, local sessions (tests) get one and clusters an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="docloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+#: Tables and folders written by this process and not dropped yet.
+_SCRATCH: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,24 +64,36 @@ def chunked(docs: DataFrame, chunk_bytes: int, extra: tuple[str, ...] = ()) -> t
     row number (a long of its own for each row), so texts are not shuffled to make chunks. Grouping this table
     by chunk shuffles no texts either.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"), *extra)
     parts = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text")).alias("n"))
     total, most = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     cuts = max(1, -(-most // chunk_bytes))
     buckets = int(min(4096, max(24, total // (32 << 20))))
-    name = f"docloom_{uuid.uuid4().hex}"
     placed = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("chunk", F.spark_partition_id().cast("long") * cuts + F.pmod(F.xxhash64("row"), F.lit(cuts)))
-    placed.write.bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name), total
+    return _kept_table(placed, buckets, "chunk"), total
 
 
-def by_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as a table bucketed by doc_id: joins on doc_id shuffle only their other side."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def by_row(docs: DataFrame) -> DataFrame:
+    """(row, doc): a number of its own for each row and all its columns, as a table bucketed by row: joins on row shuffle only their other side."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(min(4096, max(24, total // (32 << 20))))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    return _kept_table(numbered.repartition(buckets, "row"), buckets, "row")
+
+
+def _kept_table(df: DataFrame, buckets: int, key: str) -> DataFrame:
     name = f"docloom_{uuid.uuid4().hex}"
-    docs.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").saveAsTable(name)
-    return spark.table(name)
+    df.write.bucketBy(buckets, key).saveAsTable(name)
+    _SCRATCH.append(name)
+    return df.sparkSession.table(name)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Drops the scratch tables and folders of this session; call it when the results made from them are written."""
+    while _SCRATCH:
+        name = _SCRATCH.pop()
+        if "/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            spark.sql(f"drop table if exists {name}")

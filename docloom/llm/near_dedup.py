@@ -17,8 +17,10 @@
 A pair with similarity s shares a prefix in no tree with a chance of (1 - s^4)^24: below 1e-7 at 0.85.
 
 Defined results: texts without words are linked with nothing; fewer words than a shingle count as one
-shingle; repeated rows are copies; a null doc_id is linked with nothing; an empty table gives no rows;
-other columns are ignored.
+shingle; rows are told apart by a number of their own, so repeated rows are copies and rows that repeat a
+doc_id with other texts are grouped by their own text; a null doc_id counts as larger than all others and
+is kept only as the first row of a group without ids; an empty table gives no rows; other columns are
+ignored (`deduplicated` returns them).
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, by_id, saved, table, whole, words
+from docloom.llm.common import ascii_lower, by_row, saved, table, whole, words
 
 TREES = 24
 BASE_DEPTH = 4
@@ -90,14 +92,14 @@ def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary"
+SIGNED = "row long, doc_id long, n_shingles long, set_key binary, signature binary"
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                all_values, all_lengths = _lists(batch.column(1))
+                all_values, all_lengths = _lists(batch.column(2))
                 ends = np.cumsum(all_lengths)
                 for first, last in _slices(all_lengths):
                     lengths = all_lengths[first:last]
@@ -116,15 +118,16 @@ def _sign(k: int):
                             low = np.minimum.reduceat(s * _MULTIPLIERS[f], starts[filled])
                             signatures[filled, f] = (mixed64(low) >> np.uint64(48)).astype(np.uint16)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, last - first), pa.array(sizes), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in signatures], pa.binary())],
-                        ["doc_id", "n_shingles", "set_key", "signature"],
+                        [*(batch.column(c).slice(first, last - first) for c in (0, 1)), pa.array(sizes), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in signatures], pa.binary())],
+                        ["row", "doc_id", "n_shingles", "set_key", "signature"],
                     )
 
     return run
 
 
-def signed(docs: DataFrame, k: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("w")).mapInArrow(_sign(k), SIGNED)
+def signed(stored: DataFrame, k: int) -> DataFrame:
+    """stored: (row, doc). Size, key and signature of every row's shingle set."""
+    return stored.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), word_hashes(F.col("doc.text")).alias("w")).mapInArrow(_sign(k), SIGNED)
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +188,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; links: (a, b). Alternating large and small stars."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
-    def marks(e: DataFrame) -> tuple[int, int]:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+    def marks(e: DataFrame) -> tuple:
+        h = F.xxhash64("u", "v")
+        return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
     before = marks(edges)
     while before[0]:
@@ -259,8 +263,8 @@ def _solve(k: int, percent: int):
 def _solved(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """members: (component, chunk, rep). Labels within each chunk, confirmed on full sets."""
     units = max(1, -(-members.count() // UNIT))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    rows = members.withColumn("unit", F.pmod(F.xxhash64("component", "chunk"), F.lit(units))).join(texts, "rep").dropDuplicates(["rep"])
+    texts = docs.select(F.col("row").alias("rep"), F.col("doc.text").alias("text"))
+    rows = members.withColumn("unit", F.pmod(F.xxhash64("component", "chunk"), F.lit(units))).join(texts, "rep")
     hashed = rows.repartition("unit").select("unit", "component", "chunk", "rep", word_hashes(F.col("text")).alias("w"))
     return saved(hashed.groupBy("unit").applyInArrow(_solve(k, percent), LABELLED))
 
@@ -300,7 +304,7 @@ def confirmed_groups(candidates: DataFrame, docs: DataFrame, k: int, percent: in
     merged = saved(found.join(large, "component", "left_semi").join(tops, "label").select("component", "chunk", "rep", F.col("top").alias("label")))
     # the rest: everything outside the largest group of its component, in blocks against all members
     largest = merged.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    texts = docs.select(F.col("row").alias("rep"), F.col("doc.text").alias("text"))
     rest = saved(merged.join(largest, "component").where("label <> main").select("component", "rep", "label"))
     blocks = rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     chunks = merged.select("component", "chunk").distinct()
@@ -313,20 +317,37 @@ def confirmed_groups(candidates: DataFrame, docs: DataFrame, k: int, percent: in
     return found.join(large, "component", "left_anti").select("rep", "label").unionByName(settled)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs: component_id is the smallest doc_id reachable by links of percent similarity."""
-    docs = docs.select("doc_id", "text")
-    rows = saved(signed(docs, k))
-    usable = rows.where("set_key is not null and doc_id is not null")
-    classes = saved(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The stored rows (row, doc) and for each row: doc_id, n_shingles, component_id, kept, and stays for one row of each group."""
+    stored = by_row(docs)
+    rows = saved(signed(stored, k))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = saved(rows.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.first("signature").alias("signature"), first))
     candidates = components(candidate_links(classes)).select(F.col("node").alias("rep"), "component")
     candidates = saved(candidates.unionByName(candidates.select(F.col("component").alias("rep"), "component").distinct()))
-    labels = confirmed_groups(candidates, by_id(docs.where("doc_id is not null")), k, percent)
-    final = classes.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(final, "set_key", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    labels = confirmed_groups(candidates, stored, k, percent)
+    joined = saved(classes.select("set_key", "rep", "first").join(labels, "rep", "left"))
+    groups = joined.where("label is not null").groupBy("label").agg(F.min("first").alias("group_first"))
+    final = joined.join(groups, "label", "left").select("set_key", F.coalesce("group_first", "first").alias("first"))
+    found = rows.drop("signature").join(final, "set_key", "left")
+    least, alone = F.col("first.doc_id"), F.col("first").isNull()
+    stays = alone | (F.col("row") == F.col("first.row"))
+    result = found.select(
+        "row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(least).alias("component_id"),
+        F.when(alone, True).when(least.isNull(), stays).otherwise(F.coalesce(F.col("doc_id") == least, F.lit(False))).alias("kept"), stays.alias("stays"),
+    )
+    return stored, result
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs: component_id is the smallest doc_id reachable by links of percent similarity."""
+    return grouped(docs.select("doc_id", "text"), k, percent)[1].drop("row", "stays")
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group, with the columns of docs: that of the smallest doc_id, of rows with that id the first."""
+    stored, found = grouped(docs, k, percent)
+    return stored.join(found.where("not stays").select("row"), "row", "left_anti").select("doc.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
