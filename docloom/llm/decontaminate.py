@@ -1,12 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Test items are short, documents long, so Jaccard LSH over whole documents fails; what counts is the
-share of an item's shingles found in the document. Each item keeps the K smallest hashes of its
+share of an item's shingles found in the document. Each item keeps the SKETCH smallest hashes of its
 distinct 5-word shingles (a MinHash sketch of the item). Items are partitioned by size in powers of
-two; each partition has its own least number of sketch hashes that a document must hold, set so that
-an item with the wanted containment is missed with a chance below MISS. A document probes the sketch
-index with all shingles of its whole text; candidates are verified by exact shingle containment, on
-the words themselves.
+two, each partition with an index and a threshold of its own: the sketch hashes that a document must
+hold, set so that an item with the wanted containment is missed with a chance below MISS (hits are
+hypergeometric, so smaller sizes bear higher thresholds; a sketch that is the whole set must reach the
+containment itself). A document probes every partition with all shingles of its whole text; candidates
+are verified by exact shingle containment, on the words themselves.
 
 The item index is broadcast in blocks of at most BLOCK_SHINGLES shingles: a larger benchmark makes
 more blocks, each a pass over the documents, so what is broadcast is bounded at every size.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +37,22 @@ SHINGLE = 5
 MIN_CONTAINMENT = 0.8
 SKETCH = 16
 MISS = 1e-6
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 250_000
 
 WORD = re.compile(r"\w+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 PAIRS = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 
 
-def least_hits(sketch: int, containment: float, miss: float = MISS) -> int:
-    """The most sketch hashes that may be demanded of a document, so that a true match is missed with a chance below miss."""
+def least_hits(n_shingles: int, sketch: int, containment: float, miss: float = MISS) -> int:
+    """The most sketch hashes that may be demanded, so that a document with that share of an item's n_shingles is missed with a chance below miss.
+
+    The sketch is a sample of the shingles without replacement, so the hits are hypergeometric.
+    """
+    held = int(np.ceil(containment * n_shingles - 1e-9))
     tail = 0.0
     for hits in range(sketch + 1):
-        tail += comb(sketch, hits) * containment**hits * (1 - containment) ** (sketch - hits)
+        tail += comb(held, hits) * comb(n_shingles - held, sketch - hits) / comb(n_shingles, sketch)
         if tail > miss:
             return max(1, hits)
     return sketch
@@ -67,6 +73,14 @@ def shingle_hashes(ids: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return h
 
 
+class Partition(NamedTuple):
+    """Sketches of the items with 2 ** size_class to 2 ** (size_class + 1) - 1 shingles, by hash, and the hits that a document needs."""
+
+    hashes: np.ndarray
+    owners: np.ndarray
+    needed: np.ndarray
+
+
 class ItemIndex:
     """Words, shingles and size-partitioned sketches of one block of items."""
 
@@ -74,27 +88,32 @@ class ItemIndex:
         self.containment = containment
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, frozenset]] = []
-        hashes, owners, self.needed = [], [], []
+        sketches: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(text.lower())]
             shingles = frozenset(zip(*(ids[j:] for j in range(SHINGLE)), strict=False))
-            if not shingles:
-                continue
-            sketch = np.sort(np.unique(shingle_hashes(np.array(ids, dtype=np.uint64))))[:SKETCH]
-            self.needed.append(self._needed(len(shingles), len(sketch)))
-            hashes.append(sketch)
-            owners.append(np.full(len(sketch), len(self.items)))
-            self.items.append((item_id, shingles))
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        self.owners = np.concatenate(owners) if owners else np.empty(0, dtype=np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.owners = self.hashes[order], self.owners[order]
-
-    def _needed(self, n_shingles: int, sketch: int) -> int:
-        """By size partition: where the sketch is the whole set its share is exact, else the binomial bound of the partition."""
-        if sketch == n_shingles:
-            return max(1, int(np.ceil(self.containment * n_shingles - 1e-9)))
-        return least_hits(sketch, self.containment)
+            if shingles:
+                hashes = np.unique(shingle_hashes(np.array(ids, dtype=np.uint64)))
+                sketches.setdefault(len(shingles).bit_length() - 1, []).append((len(self.items), hashes[:SKETCH]))
+                self.items.append((item_id, shingles))
+        self.partitions = [self._partition(c, rows) for c, rows in sorted(sketches.items())]
+
+    def _partition(self, size_class: int, rows: list[tuple[int, np.ndarray]]) -> Partition:
+        """One threshold for the class, that of its largest size; where sketches are whole sets each item's own."""
+        hashes, owners = np.concatenate([h for _, h in rows]), np.repeat([i for i, _ in rows], [len(h) for _, h in rows])
+        largest, needed = 2 ** (size_class + 1) - 1, np.zeros(len(self.items), dtype=np.int64)
+        for i, h in rows:
+            n = len(self.items[i][1])
+            needed[i] = max(1, int(np.ceil(self.containment * n - 1e-9))) if len(h) == n else least_hits(largest, len(h), self.containment)
+        order = np.argsort(hashes, kind="stable")
+        return Partition(hashes[order], owners[order], needed)
+
+    def candidates(self, present: np.ndarray) -> Iterator[int]:
+        """Items whose sketch has enough hashes in the sorted hashes of a document."""
+        for part in self.partitions:
+            at = np.minimum(np.searchsorted(present, part.hashes), len(present) - 1)
+            hits = np.bincount(part.owners[present[at] == part.hashes], minlength=len(part.needed))
+            yield from np.flatnonzero((hits[: len(part.needed)] >= part.needed) & (part.needed > 0)).tolist()
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, shingles of the item, those found in the text) for every item contained in the text."""
@@ -103,12 +122,8 @@ class ItemIndex:
         present = np.unique(shingle_hashes(ids))
         if not len(present) or (len(present) == 1 and present[0] == 0):
             return []
-        at = np.minimum(np.searchsorted(present, self.hashes), len(present) - 1)
-        hits = np.bincount(self.owners[present[at] == self.hashes], minlength=len(self.items))
         found, exact = [], None
-        for k in np.flatnonzero(hits):
-            if hits[k] < self.needed[k]:
-                continue
+        for k in self.candidates(present):
             if exact is None:
                 listed = ids.tolist()
                 exact = set(zip(*(listed[j:] for j in range(SHINGLE)), strict=False))
@@ -160,5 +175,22 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = MIN_
     return spark.createDataFrame([], PAIRS) if found is None else found
 
 
+def _clean(index, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: ItemIndex = index.value
+        for batch in batches:
+            yield batch.filter(pa.array([not ((t := x.as_py()) and items.find(t)) for x in batch.column(column)], pa.bool_()))
+
+    return run
+
+
+def without_items(docs: DataFrame, items: DataFrame, containment: float = MIN_CONTAINMENT) -> DataFrame:
+    """The rows of docs, all columns, whose text contains no item; decided row by row, so ids don't matter."""
+    for block in _blocks(items, BLOCK_SHINGLES):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, containment))
+        docs = docs.mapInArrow(_clean(index, docs.columns.index("text")), docs.schema)
+    return docs
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
