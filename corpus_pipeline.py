@@ -3,8 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; what it returns is written and
 read again as the docs of the next. All but the last return the columns of docs.
 
-Defined results: rows with a null doc_id are linked with nothing and stay until a rule on their text
-rejects them; rows that repeat a doc_id stay or go together.
+Defined results: every decision is a row's own, so null and repeated doc_ids lose no row and keep none
+that a rule rejects; of near copies the row with the smallest doc_id stays (null is largest), of rows
+with that id one. Empty tables give empty results; columns that docs has besides are carried along.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.common import saved, table
-from docloom.llm.decontaminate import contained_items
+from docloom.llm.decontaminate import without_items
 from docloom.llm.mixing import mixed
-from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.near_dedup import deduplicated
 from docloom.llm.quality import fit_ratio, kept_documents
 from docloom.llm.sharding import shard_documents
 
@@ -26,14 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return deduplicated(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: Near-duplicate components and the fitted ratio can't be put in SQL; tests compare the stages with brute force.
+#: Near-duplicate components and the fitted ratio can't be put in SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
