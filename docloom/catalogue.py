@@ -9,13 +9,15 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import admin, blocks, chunking, conversation, retrieval, routing
 from docloom.plans.options import Plan
-from docloom.sources import parsers
+from docloom.sources import index, parsers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 PLAN = Plan()
-ASKED = 5  # questions: the first benchmark items and vectors, as stated query sets
-TERMS = r"[a-z0-9]{2,}|\p{IsHan}"
+#: Questions are all benchmark items and vectors whose id is divisible by this, against all chunks and vectors.
+ASKED = 20
+#: Chunk numbers of a document lie below this, so (document, chunk) is one number; GROUP chunks are a parent.
+SPAN, GROUP = 1 << 20, 4
 
 
 def query(sql: str | None = None):
@@ -39,7 +41,7 @@ WINDOWS = "select doc_id, cast(n as int) as chunk_no, substring(text, n * 360 +
 
 def chunks(spark, d):
     found = chunking.fixed_windows(t(spark, d, "documents"))
-    return found.select((F.col("doc_id") * 10000 + F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", "chunk_text")
+    return found.select((F.col("doc_id") * SPAN + F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", "chunk_text")
 
 
 @query(WINDOWS)
@@ -93,13 +95,13 @@ def strategy_recommendation(spark, d):
 
 
 @query(
-    "with x as (select doc_id, list_filter(list_concat([source], list_concat(string_split(lang || '/' || source, '/'), regexp_extract_all(substring(text, 1, 200), '[A-Za-z0-9]+'))), lambda x: octet_length(encode(x)) >= 2) as k from documents),"
+    "with x as (select doc_id, list_filter(list_concat([source], list_concat(string_split(lang || '/' || source, '/'), regexp_extract_all(text, '[A-Za-z0-9]+'))), lambda x: octet_length(encode(x)) >= 2) as k from documents),"
     " u as (select doc_id, word, min(i) as i from (select doc_id, unnest(k) as word, generate_subscripts(k, 1) as i from x) group by doc_id, word),"
     " r as (select *, row_number() over (partition by doc_id order by i) as n from u)"
     " select doc_id, string_agg(word, ',' order by i) as keywords from r where n <= 12 group by doc_id"
 )
 def keyword_seed(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.concat_ws("/", "lang", "source").alias("section_path"), F.substring("text", 1, 200).alias("text"))
+    rows = t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.concat_ws("/", "lang", "source").alias("section_path"), "text")
     return chunking.keyword_seed(rows).where(F.size("keywords") > 0).select("doc_id", F.array_join("keywords", ",").alias("keywords"))
 
 
@@ -117,25 +119,26 @@ def jaccard_adjacent(spark, d):
 
 
 def question_terms(spark, d):
-    asked = t(spark, d, "benchmark").where(F.col("item_id") < ASKED)
-    return asked.select(F.col("item_id").alias("question_id"), F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERMS), F.lit(0))), 1, 8)).alias("term"))
+    asked = t(spark, d, "benchmark").where(F.col("item_id") % ASKED == 0)
+    return asked.select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(index.terms_of(F.col("text")))).alias("term"))
 
 
-BM25 = rf"""chunk as (select doc_id * 10000 + chunk_no as chunk_id, lower(chunk_text) as x from ({WINDOWS})),
+BM25 = rf"""chunk as (select doc_id * {SPAN} + chunk_no as chunk_id, lower(chunk_text) as x from ({WINDOWS})),
  terms as (select chunk_id, regexp_extract_all(x, '[a-z0-9]{{2,}}|\p{{Han}}') as ts from chunk),
  st as (select count(*) as n, avg(len(ts)) as al from terms),
- qt as (select question_id, term from (select item_id as question_id, ts, unnest(ts) as term, generate_subscripts(ts, 1) as i from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}|\p{{Han}}') as ts from benchmark where item_id < {ASKED}))
-   group by question_id, term qualify row_number() over (partition by question_id order by min(i)) <= 8),
+ qt as (select distinct item_id as question_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}|\p{{Han}}')) as term from benchmark where item_id % {ASKED} = 0),
  post as (select chunk_id, dl, term, count(*) as tf from (select chunk_id, len(ts) as dl, unnest(ts) as term from terms) where term in (select term from qt) group by all),
  df as (select term, count(*) as df from post group by term),
- kw as (select question_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / al))), 6) as score
-   from qt join post using (term) join df using (term), st group by question_id, chunk_id qualify row_number() over (partition by question_id order by score desc, chunk_id) <= 10)"""
+ part as (select question_id, chunk_id, ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / al)) as part from qt join post using (term) join df using (term), st),
+ kw as (select question_id, chunk_id, round(sum(part), 6) as score from part group by question_id, chunk_id qualify row_number() over (partition by question_id order by score desc, chunk_id) <= 10)"""
+
+
+def keyword_index(spark, d):
+    return index.stored_index(chunks(spark, d), d)
 
 
 def keyword_channel(spark, d):
-    c = chunks(spark, d)
-    asked = question_terms(spark, d)
-    return retrieval.keyword_hits(retrieval.postings(c), c, asked)
+    return retrieval.keyword_hits(keyword_index(spark, d), question_terms(spark, d))
 
 
 @query(f"with {BM25} select * from kw")
@@ -149,13 +152,13 @@ def bm25_gate(spark, d):
 
 
 COSINE = f"""vec as (select vec_id, cast(embedding as double[]) as v from embeddings),
- dot as (select q.vec_id as question_id, c.vec_id * 10000 as chunk_id, list_inner_product(q.v, c.v) as p, sqrt(list_inner_product(q.v, q.v)) as nq, sqrt(list_inner_product(c.v, c.v)) as nc from vec q, vec c where q.vec_id < {ASKED}),
+ dot as (select q.vec_id as question_id, c.vec_id * {SPAN} as chunk_id, list_inner_product(q.v, c.v) as p, sqrt(list_inner_product(q.v, q.v)) as nq, sqrt(list_inner_product(c.v, c.v)) as nc from vec q, vec c where q.vec_id % {ASKED} = 0),
  vh as (select question_id, chunk_id, round(case when nq = 0 or nc = 0 then 0 else p / (nq * nc) end, 6) as score from dot qualify row_number() over (partition by question_id order by score desc, chunk_id) <= 10)"""
 
 
 def vector_channel(spark, d):
     e = t(spark, d, "embeddings")
-    return retrieval.vector_hits(e.where(F.col("vec_id") < ASKED).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query")), e.select((F.col("vec_id") * 10000).alias("chunk_id"), F.col("embedding").alias("vector")))
+    return retrieval.vector_hits(e.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query")), e.select((F.col("vec_id") * SPAN).alias("chunk_id"), F.col("embedding").alias("vector")))
 
 
 @query(f"with {COSINE} select * from vh")
@@ -193,22 +196,27 @@ HYBRID = "select question_id, chunk_id, fused_score, channel, row_number() over
 
 @query(f"with {BAG} {HYBRID}")
 def hybrid_search(spark, d):
-    from pyspark.sql import Window
+    return retrieval.final_hits(retrieval.candidates(fused_hits(spark, d), PLAN.candidates), PLAN.final_top_k)
 
-    best = retrieval.top_k(retrieval.candidates(fused_hits(spark, d), PLAN.candidates), ["question_id"], PLAN.final_top_k, [F.col("fused_score").desc(), F.col("chunk_id")])
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("fused_score").desc(), "chunk_id"))
-    return best.select("question_id", "chunk_id", "fused_score", "channel", rank.alias("final_rank"))
 
+UP = f"""{BAG}, cand as (select * from fused qualify row_number() over (partition by question_id order by fused_score desc, chunk_id) <= 40),
+ up as (select *, chunk_id // {SPAN} * {SPAN} + chunk_id % {SPAN} // {GROUP} as parent from cand),
+ par as (select question_id, parent::varchar as parent_key, round(max(fused_score) * (1 + least(0.36::double, 0.12::double * (count(*) - 1)) + case when count(distinct channel) > 1 then 0.10::double else 0 end), 6) as score,
+   count(*) as child_count, arg_max(chunk_id, (fused_score, -chunk_id)) as best_child, case when count(distinct channel) > 1 then 'hybrid' else min(channel) end as channel, min(chunk_id) as first_child from up group by question_id, parent)"""
 
-@query(
-    f"""with {BAG}, up as (select question_id, channel, chunk_id, score, chunk_id // 10000 * 100 + (chunk_id % 10000) // 4 as parent from kept)
- select question_id, parent::varchar as parent_key, round(max(score) * (1 + least(0.36::double, 0.12::double * (count(*) - 1)) + case when count(distinct channel) > 1 then 0.10::double else 0 end), 6) as score, count(*) as child_count,
- arg_max(chunk_id, (score, -chunk_id)) as best_child from up group by question_id, parent"""
-)
+
+def child_parents(hits):
+    return hits.select("chunk_id").distinct().withColumn("parent_id", F.expr(f"chunk_id div {SPAN} * {SPAN} + (chunk_id % {SPAN}) div {GROUP}"))
+
+
+def elevated(spark, d):
+    cut = retrieval.candidates(fused_hits(spark, d), PLAN.candidates)
+    return retrieval.elevate(cut, child_parents(cut))
+
+
+@query(f"with {UP} select *, row_number() over (partition by question_id order by score desc, first_child, best_child)::int as parent_rank from par")
 def parent_elevation(spark, d):
-    hits = retrieval.gated_channels(raw_hits(spark, d), PLAN)
-    parents = hits.select("chunk_id").distinct().withColumn("parent_id", F.expr("chunk_id div 10000 * 100 + (chunk_id % 10000) div 4"))
-    return retrieval.elevate(hits, parents)
+    return retrieval.ranked_parents(elevated(spark, d))
 
 
 OBSERVED = f"""{BAG}, o as (select r.question_id, r.channel, r.chunk_id, r.score, row_number() over (partition by r.question_id, r.channel order by r.score desc, r.chunk_id)::int as channel_rank,
@@ -239,12 +247,12 @@ def channel_stats(spark, d):
 
 
 @query(
-    f"""with {BAG}, ev as (select question_id, final_rank as position, 'D' || (chunk_id // 10000)::varchar as citation_key from ({HYBRID})),
+    f"""with {BAG}, ev as (select question_id, final_rank as position, 'D' || (chunk_id // {SPAN})::varchar as citation_key from ({HYBRID})),
  num as (select citation_key, row_number() over (order by q, p, citation_key)::int as citation_id from (select citation_key, min(question_id) as q, arg_min(position, (question_id, position)) as p from ev group by citation_key))
  select question_id, position, citation_key, citation_id from ev join num using (citation_key)"""
 )
 def citation_ids(spark, d):
-    ev = hybrid_search(spark, d).select("question_id", F.col("final_rank").alias("position"), F.concat(F.lit("D"), F.expr("chunk_id div 10000").cast("string")).alias("citation_key"))
+    ev = hybrid_search(spark, d).select("question_id", F.col("final_rank").alias("position"), F.concat(F.lit("D"), F.expr(f"chunk_id div {SPAN}").cast("string")).alias("citation_key"))
     return retrieval.citation_ids(ev).select("question_id", "position", "citation_key", "citation_id")
 
 

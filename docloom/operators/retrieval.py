@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.plans.options import BM25_B, BM25_K1, RRF_K, Plan
+from docloom.sources.index import Index
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, doc_len of chunks (chunk_id, chunk_text). Terms are lower-cased Latin words and Han characters."""
-    terms = F.regexp_extract_all(F.lower("chunk_text"), F.lit(r"[a-z0-9]{2,}|\p{IsHan}"), F.lit(0))
-    rows = chunks.select("chunk_id", F.size(terms).alias("doc_len"), F.explode(terms).alias("term"))
-    return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-
+def keyword_hits(index: Index, question_terms: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 over a stored index: question_id, chunk_id, score, the best k of each question.
 
-def keyword_hits(index: DataFrame, chunks: DataFrame, question_terms: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 over postings: question_id, chunk_id, score, the best k of each question. Only postings of asked terms are scored."""
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size(F.regexp_extract_all(F.lower("chunk_text"), F.lit(r"[a-z0-9]{2,}|\p{IsHan}"), F.lit(0)))).alias("avg_len"))
-    asked = index.join(question_terms.select("term").distinct(), "term", "left_semi")
+    Only postings of asked terms are read. allowed: (chunk_id) narrows the chunks; figures stay those of the whole index.
+    """
+    asked = index.postings.join(question_terms.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(
+    if allowed is not None:
+        asked = asked.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    # figures is one row
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(index.figures)).select(
         "term", "chunk_id",
         (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.col("avg_len")))).alias("part"),
     )
@@ -29,15 +33,40 @@ def keyword_hits(index: DataFrame, chunks: DataFrame, question_terms: DataFrame,
     return top_k(scores, ["question_id"], k)
 
 
+#: Vectors and questions in a block; a pair of blocks is one product of matrices.
+VECTOR_BLOCK, QUESTION_BLOCK = 4096, 512
+
+
+def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows in blocks of about `size`: keys, vectors."""
+    blocks = max(1, -(-rows.count() // size))
+    numbered = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.col(key).alias("key"), F.col(vector).alias("vector"))
+    return numbered.groupBy("block").agg(F.collect_list(F.struct("key", "vector")).alias("rows")).select(F.col("rows.key").alias(f"{key}s"), F.col("rows.vector").alias(f"{key}_vectors"))
+
+
 def vector_hits(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine top-k: question_id, chunk_id, score. queries: (question_id, query), corpus: (chunk_id, vector).
 
-    Every question meets every vector; questions are a stated, small set, the corpus stays where it is.
+    Questions and vectors meet in blocks; each pair of blocks gives the best k of every question, so what is
+    shuffled after that is k rows for each question and block. Vectors of length 0 score 0.
     """
-    q = queries.select("question_id", V.doubles(F.col("query")).alias("q")).withColumn("qn", F.sqrt(V.dot(F.col("q"), F.col("q"))))
-    c = corpus.select("chunk_id", V.doubles(F.col("vector")).alias("v")).withColumn("vn", F.sqrt(V.dot(F.col("v"), F.col("v"))))
-    scored = c.crossJoin(q).select("question_id", "chunk_id", F.round(V.cosine(F.col("q"), F.col("v"), F.col("qn"), F.col("vn")), 6).alias("score"))
-    return top_k(scored, ["question_id"], k)
+    q = _packed(queries.select("question_id", V.doubles(F.col("query")).alias("query")), "question_id", "query", QUESTION_BLOCK)
+    c = _packed(corpus.select("chunk_id", V.doubles(F.col("vector")).alias("vector")), "chunk_id", "vector", VECTOR_BLOCK)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vectors, chunk_ids, chunk_vectors in zip(*batch.to_pydict().values(), strict=True):
+                left, right = np.array(vectors), np.array(chunk_vectors)
+                norms = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
+                scores = np.round(np.divide(left @ right.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
+                chunks = np.array(chunk_ids)
+                order = np.lexsort((np.broadcast_to(chunks, scores.shape), -scores), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, order.shape[1])), pa.array(chunks[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["question_id", "chunk_id", "score"]
+                )
+
+    found = q.crossJoin(c).mapInArrow(best, "question_id long, chunk_id long, score double")
+    return top_k(found, ["question_id"], k)
 
 
 def top_k(rows: DataFrame, keys: list[str], k: int, order=None) -> DataFrame:
@@ -103,15 +132,54 @@ def candidates(fused: DataFrame, k: int) -> DataFrame:
     return top_k(fused, ["question_id"], max(0, k), [F.col("fused_score").desc(), F.col("chunk_id")])
 
 
-def elevate(hits: DataFrame, child_parent: DataFrame) -> DataFrame:
-    """Children to parents: max * (1 + min(.36, .12 * (n - 1)) + .10 if more than one channel); orphans pass as they are."""
-    joined = hits.join(child_parent, "chunk_id", "left")
+def final_hits(candidates: DataFrame, k: int) -> DataFrame:
+    """The best k of each question with final_rank from 1."""
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("fused_score").desc(), "chunk_id"))
+    return candidates.select("question_id", "chunk_id", "fused_score", "channel", rank.alias("final_rank")).where(F.col("final_rank") <= k)
+
+
+def elevate(fused: DataFrame, child_parent: DataFrame) -> DataFrame:
+    """Fused children (question_id, chunk_id, fused_score, channel) to parents: max * (1 + min(.36, .12 * (n - 1)) + .10 if more than one channel).
+
+    child_parent: chunk_id, parent_id. Children without a parent pass as they are.
+    """
+    joined = fused.join(child_parent, "chunk_id", "left")
     parent = F.coalesce(F.col("parent_id").cast("string"), F.concat(F.lit("orphan-"), F.col("chunk_id").cast("string")))
     n, channels = F.count("*"), F.count_distinct("channel")
-    score = F.max("score") * (1 + F.least(F.lit(0.36), 0.12 * (n - 1)) + F.when(channels > 1, 0.10).otherwise(0.0))
+    score = F.max("fused_score") * (1 + F.least(F.lit(0.36), 0.12 * (n - 1)) + F.when(channels > 1, 0.10).otherwise(0.0))
     return joined.withColumn("parent_key", parent).groupBy("question_id", "parent_key").agg(
-        F.round(score, 6).alias("score"), n.alias("child_count"), F.max_by("chunk_id", F.struct(F.col("score"), -F.col("chunk_id"))).alias("best_child")
-    )
+        F.round(score, 6).alias("score"), n.alias("child_count"), F.max_by("chunk_id", F.struct(F.col("fused_score"), -F.col("chunk_id"))).alias("best_child"),
+        F.when(channels > 1, "hybrid").otherwise(F.min("channel")).alias("channel"), F.min("chunk_id").alias("first_child"),
+    )
+
+
+def ranked_parents(parents: DataFrame) -> DataFrame:
+    """Adds parent_rank: score descending, then parent (its first chunk) and chunk number ascending."""
+    return parents.withColumn("parent_rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("score").desc(), "first_child", "best_child")))
+
+
+SNIPPET = 140
+
+
+def parent_evidence(children: DataFrame, limit: int) -> DataFrame:
+    """children: question_id, parent_key, parent_text, chunk_no, chunk_text. One text a parent: its own, then its hit children by number."""
+    lines = F.array_sort(F.collect_list(F.struct("chunk_no", T.clip_head(F.col("chunk_text"), SNIPPET).alias("snippet"))))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- child#"), x["chunk_no"].cast("string"), F.lit("："), x["snippet"])), "\n")
+    whole = F.concat(F.lit("[父块内容]\n"), T.trimmed(F.first("parent_text")), F.lit("\n\n[命中子片段]\n"), listed)
+    return children.groupBy("question_id", "parent_key").agg(T.clip_head(whole, max(1, limit)).alias("evidence"))
+
+
+def reranked(candidates: DataFrame, relevance: DataFrame, top_n: int, enabled: bool = True) -> DataFrame:
+    """Candidates with the scores of a reranker (question_id, position -> relevance) filled in by position, the best top_n of each question.
+
+    Without a reranker, or where it gives a question nothing, the order and scores stay; positions it does not name are dropped.
+    """
+    if not enabled:
+        return candidates.withColumn("rerank_score", F.lit(None).cast("double"))
+    given = relevance.select("question_id").distinct().withColumn("has", F.lit(True))
+    rows = candidates.join(relevance, ["question_id", "position"], "left").join(given, "question_id", "left").where("relevance is not null or has is null")
+    order = Window.partitionBy("question_id").orderBy(F.col("relevance").desc_nulls_last(), "position")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).withColumnRenamed("relevance", "rerank_score").drop("rank", "has")
 
 
 def observe(bag: DataFrame, gated: DataFrame, fused: DataFrame, final_k: int) -> DataFrame:
