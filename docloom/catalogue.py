@@ -18,6 +18,8 @@ PLAN = Plan()
 ASKED = 20
 #: Chunk numbers of a document lie below this, so (document, chunk) is one number; GROUP chunks are a parent.
 SPAN, GROUP = 1 << 20, 4
+#: Key terms of a topic that a route looks for.
+KEY_TERMS = 200
 
 
 def query(sql: str | None = None):
@@ -310,22 +312,37 @@ def conversation_summary(spark, d):
     return conversation.merged_summary(t(spark, d, "conversations"))
 
 
-ROUTE = f"""cen as (select label, cast(embedding as double[]) as v from embeddings qualify row_number() over (partition by label order by vec_id) = 1),
- q as (select vec_id as question_id, cast(embedding as double[]) as v from embeddings where vec_id < 50),
+ROUTE = rf"""cen as (select label, list(x order by i) as v from (select label, i, avg(x) as x from (select label, unnest(cast(embedding as double[])) as x, generate_subscripts(embedding, 1) as i from embeddings) group by label, i) group by label),
+ doc as (select vec_id, label, source, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}|\p{{Han}}')) as ts from embeddings join documents on doc_id = vec_id),
+ kt as (select label, term from (select label, term, count(*) as n from (select label, unnest(ts) as term from doc) group by label, term) qualify row_number() over (partition by label order by n desc, term) <= {KEY_TERMS}),
+ top_src as (select label, source from (select label, source, count(*) as n from doc group by label, source) qualify row_number() over (partition by label order by n desc, source) = 1),
+ q as (select vec_id as question_id, cast(embedding as double[]) as v from embeddings where vec_id % {ASKED} = 0),
  sc as (select question_id, label as candidate, round(list_inner_product(q.v, cen.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(cen.v, cen.v))), 6) as sem from q, cen),
- scored as (select question_id, candidate, round(case when sem > 0.2::double then (sem - 0.2::double) * 50 else 0 end + least((candidate % 4) * 1.6::double, 10) + case when candidate = 0 then 8 else 0 end, 6) as score,
-   case when (sem > 0.2::double)::int + (candidate % 4 > 0)::int + (candidate = 0)::int > 1 then 'COMPOSITE' when sem > 0.2::double then 'SEMANTIC' when candidate % 4 > 0 then 'LEXICAL' when candidate = 0 then 'RELATION' else 'NONE' end as source from sc)"""
+ lx as (select vec_id as question_id, kt.label as candidate, round(ln(1 + count(*)::double), 6) as lexical from (select vec_id, unnest(ts) as term from doc where vec_id % {ASKED} = 0) join kt using (term) group by vec_id, kt.label),
+ rl as (select vec_id as question_id, s.label as candidate, 1.0::double as relation from doc join top_src s using (source) where vec_id % {ASKED} = 0),
+ feat as (select question_id, candidate, sem, coalesce(lexical, 0) as lexical, coalesce(relation, 0) as relation from sc left join lx using (question_id, candidate) left join rl using (question_id, candidate)),
+ scored as (select question_id, candidate, round(case when sem > 0.2::double then (sem - 0.2::double) * 50 else 0 end + least(lexical * 1.6::double, 10) + relation * 8, 6) as score,
+   case when (sem > 0.2::double)::int + (lexical > 0)::int + (relation > 0)::int > 1 then 'COMPOSITE' when sem > 0.2::double then 'SEMANTIC' when lexical > 0 then 'LEXICAL' when relation > 0 then 'RELATION' else 'NONE' end as source from feat)"""
 
 
 def routed(spark, d):
+    """Questions (vectors, with the text of the document of that id) against topics (labels): centroids, shared key terms, and the topic's main source."""
     from pyspark.sql import Window
 
     e = t(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
-    topics = e.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n = 1").select(F.col("label").alias("candidate"), F.col("v").alias("cv"))
-    pairs = e.where("vec_id < 50").select(F.col("vec_id").alias("question_id"), "v").crossJoin(topics)
-    sem = pairs.withColumn("sem", F.round(V.cosine(F.col("v"), F.col("cv")), 6))
-    lexical, relation = (F.col("candidate") % 4).cast("double"), F.when(F.col("candidate") == 0, 1.0).otherwise(0.0)
-    return sem.select("question_id", "candidate", F.round(routing.route_score(F.col("sem"), lexical, relation), 6).alias("score"), routing.route_source(F.col("sem"), lexical, relation).alias("source"))
+    docs = e.select("vec_id", "label").join(t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.array_distinct(index.terms_of(F.col("text"))).alias("terms")), "vec_id")
+    counts = docs.groupBy("label", "source").agg(F.count("*").alias("n")).withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy(F.col("n").desc(), "source")))
+    main = counts.where("at = 1").select(F.col("label").alias("candidate"), "source")
+    asked = docs.where(F.col("vec_id") % ASKED == 0).withColumnRenamed("vec_id", "question_id")
+    lexical = routing.lexical_hits(asked, routing.key_terms(docs, "label", KEY_TERMS), "label").withColumnRenamed("label", "candidate")
+    relation = asked.join(main, "source").select("question_id", "candidate", F.lit(1.0).alias("relation"))
+    # topics are few: one vector a label
+    topics = F.broadcast(routing.centroids(e, "label").withColumnRenamed("label", "candidate"))
+    pairs = e.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("question_id"), "v").crossJoin(topics)
+    rows = pairs.select("question_id", "candidate", F.round(V.cosine(F.col("v"), F.col("cv")), 6).alias("sem"))
+    rows = rows.join(lexical, ["question_id", "candidate"], "left").join(relation, ["question_id", "candidate"], "left").fillna(0.0, ["lexical", "relation"])
+    parts = [F.col(x) for x in ("sem", "lexical", "relation")]
+    return rows.select("question_id", "candidate", F.round(routing.route_score(*parts), 6).alias("score"), routing.route_source(*parts).alias("source"))
 
 
 @query(f"with {ROUTE} select * from scored")
@@ -333,6 +350,11 @@ def route_score(spark, d):
     return routed(spark, d)
 
 
+@query(f"with {ROUTE} select question_id, candidate, score, source, row_number() over (partition by question_id order by score desc, candidate)::int as position from scored where score > 0 qualify position <= 5")
+def ranked_routes(spark, d):
+    return routing.ranked(routed(spark, d), routing.TOP_DOCUMENTS)
+
+
 @query(
     f"""with {ROUTE}, n as (select question_id, score, row_number() over (partition by question_id order by score desc, candidate) as k from scored),
  tops as (select question_id, max(score) filter (where k = 1) as top1, coalesce(max(score) filter (where k = 2), 0) as top2 from n group by question_id)
@@ -390,13 +412,10 @@ def scope_conflict(spark, d):
     return admin.scope_conflicts(t(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("select event_id, user_id, coalesce(last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), -1) as section from events")
+@query("select event_id, user_id, coalesce(last_value(case when event_type = 'click' then event_id::varchar end ignore nulls) over (partition by user_id order by k rows between unbounded preceding and current row), '') as section_path from (select *, row_number() over (order by ts, event_id) as k from events)")
 def section_fill(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    found = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(w)
-    return t(spark, d, "events").select("event_id", "user_id", F.coalesce(found, F.lit(-1)).alias("section"))
+    rows = t(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "click", "TITLE").otherwise("Text").alias("block_type"), F.col("event_id").cast("string").alias("text"))
+    return blocks.filled_sections(rows, "at", "user_id").select("event_id", "user_id", "section_path")
 
 
 @query("select event_id, user_id, sum(c) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row)::bigint as run_no from (select *, case when event_type = lag(event_type) over (partition by user_id order by ts, event_id) then 0 else 1 end as c from events)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,3 +120,34 @@ def content_hash(*parts: Column) -> Column:
 def outer_json(x: Column, kind: str = "object") -> Column:
     """The outermost JSON object or array written in a text."""
     return F.regexp_extract(x, r"(?s)\{.*\}" if kind == "object" else r"(?s)\[.*\]", 0)
+
+
+def tolerant_array(x: Column) -> Column:
+    """An array of strings written as JSON, anywhere in a text; without one, the lines with list marks dropped. Blanks go."""
+    written = F.from_json(outer_json(x, "array"), "array<string>")
+    lines = F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), lambda y: F.regexp_replace(y, r"^\s*([-*•]|[0-9]+[.)、])\s*", ""))
+    return F.filter(F.transform(F.coalesce(written, lines), trimmed), lambda y: y != "")
+
+
+def prompt(template: str, values: dict[str, Column]) -> Column:
+    """A template with each {name} replaced; null values leave nothing."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def stable_id(*parts: Column) -> Column:
+    """A positive 63-bit id that depends on the parts alone."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit(2**63 - 1))
+
+
+def number_text(x: Column, digits: int = 2) -> Column:
+    """A number with at most that many decimals (halves to even) and no trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits)), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def segmented(x: Column, words: list[str]) -> Column:
+    """Words of a text by longest match with a dictionary; other Han characters stand alone, Latin words and numbers stay whole."""
+    known = "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)) if w)
+    return F.regexp_extract_all(x, F.lit(rf"{known + '|' if known else ''}[A-Za-z0-9]+|\p{{IsHan}}"), F.lit(0))

@@ -24,6 +24,12 @@ def normalise(blocks: DataFrame) -> DataFrame:
     return filled.withColumn("canonical_path", F.concat(F.lit("/"), T.slug(F.col("section_path")), F.lit("/"), F.col("block_no")))
 
 
+def filled_sections(blocks: DataFrame, order: str = "block_no", key: str = "document_id") -> DataFrame:
+    """Adds section_path: the text of the last title up to each block, empty before the first."""
+    title = F.when(F.col("block_type") == "TITLE", F.trim("text"))
+    return blocks.withColumn("section_path", F.coalesce(F.last(title, ignorenulls=True).over(Window.partitionBy(key).orderBy(order)), F.lit("")))
+
+
 def stats(blocks: DataFrame) -> DataFrame:
     """Heading and paragraph counts, longest paragraph, characters, structure level and quality level of each document."""
     heading = F.col("block_type") == "TITLE"
@@ -47,30 +53,35 @@ def section_runs(rows: DataFrame, key: str, order: list[str], section: str) -> D
     return rows.withColumn("changed", change).withColumn("run_no", F.sum("changed").over(w)).drop("changed")
 
 
+TREE = "document_id long, node_no int, parent_no int, depth int, node_type string, title string"
+
+
 def structure_tree(blocks: DataFrame) -> DataFrame:
     """document_id, node_no, parent_no, depth, node_type, title: titles nest by level, content hangs under the open title.
 
-    A fold with a stack over the ordered blocks of a document, one group for each document.
+    A fold with a stack over each document's ordered blocks. Documents are sorted within partitions and read as a
+    stream of batches, so neither a document nor a partition is held in memory.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        stack, out = [(0, 0, 0)], []  # (node, heading level, depth)
-        for n, (kind, level, text) in enumerate(rows.sort_values("block_no")[["block_type", "level", "text"]].itertuples(index=False), 1):
-            if kind == "TITLE":
-                while len(stack) > 1 and stack[-1][1] >= level:
-                    stack.pop()
-                out.append((n, stack[-1][0], stack[-1][2] + 1, "SECTION", text))
-                stack.append((n, level, stack[-1][2] + 1))
-            else:
-                out.append((n, stack[-1][0], stack[-1][2] + 1, "CONTENT", text))
-        found = pd.DataFrame(out, columns=["node_no", "parent_no", "depth", "node_type", "title"])
-        found.insert(0, "document_id", rows["document_id"].iloc[0])
-        return found
-
-    levelled = blocks.withColumn("level", T.heading_level(F.col("text"), F.col("heading_level")))
-    return levelled.select("document_id", "block_no", "block_type", "level", "text").groupBy("document_id").applyInPandas(
-        run, "document_id long, node_no int, parent_no int, depth int, node_type string, title string"
-    )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, stack, n = None, [], 0  # stack: (node, heading level, depth)
+        for rows in batches:
+            out = []
+            for document, kind, level, text in zip(rows["document_id"], rows["block_type"], rows["level"], rows["text"], strict=True):
+                if document != current:
+                    current, stack, n = document, [(0, 0, 0)], 0
+                n += 1
+                if kind == "TITLE":
+                    while len(stack) > 1 and stack[-1][1] >= level:
+                        stack.pop()
+                    out.append((document, n, stack[-1][0], stack[-1][2] + 1, "SECTION", text))
+                    stack.append((n, level, stack[-1][2] + 1))
+                else:
+                    out.append((document, n, stack[-1][0], stack[-1][2] + 1, "CONTENT", text))
+            yield pd.DataFrame(out, columns=["document_id", "node_no", "parent_no", "depth", "node_type", "title"])
+
+    levelled = blocks.select("document_id", "block_no", "block_type", T.heading_level(F.col("text"), F.col("heading_level")).alias("level"), "text")
+    return levelled.repartition("document_id").sortWithinPartitions("document_id", "block_no").mapInPandas(run, TREE)
 
 
 def with_siblings(tree: DataFrame) -> DataFrame:

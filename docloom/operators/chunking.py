@@ -53,7 +53,7 @@ def _windows(x: str, limit: int, overlap: int) -> list[str]:
 
 
 def recursive_pieces(x: str, limit: int, overlap: int, level: int = 0) -> list[str]:
-    """Whole if short enough; else packed paragraphs, lines, sentences, at last fixed windows."""
+    """Whole if short enough; else packed paragraphs, lines, sentences, at last fixed windows. Every packed list gets its overlaps."""
     x = x.strip()
     if len(x) <= limit:
         return [x] if x else []
@@ -74,7 +74,17 @@ def recursive_pieces(x: str, limit: int, overlap: int, level: int = 0) -> list[s
             packed = ""
         else:
             packed = f"{packed}\n{part}" if packed else part
-    return out + [packed] * bool(packed)
+    return with_overlap(out + [packed] * bool(packed), limit, overlap)
+
+
+def with_overlap(pieces: list[str], limit: int, overlap: int) -> list[str]:
+    """Each piece after the first with the tail of the one before it, at most min(overlap, limit - length - 1) characters, on a line of its own."""
+    out = pieces[:1]
+    for before, piece in zip(pieces, pieces[1:], strict=False):
+        n = min(overlap, limit - len(piece) - 1)
+        tail = before[-n:].strip() if n > 0 else ""
+        out.append(f"{tail}\n{piece}" if tail else piece)
+    return out
 
 
 def semantic_pieces(x: str, limit: int = SEMANTIC_MAX, least: int = SEMANTIC_MIN, threshold: float = SEMANTIC_THRESHOLD) -> list[str]:
@@ -138,11 +148,15 @@ def keyword_seed(rows: DataFrame, limit: int = 12) -> DataFrame:
 
 
 def question_seed(rows: DataFrame) -> DataFrame:
-    """Adds questions: two by topic, one more for a table or an image, four at most. The phrases."""
-    topic = T.first_non_blank(F.col("title"), F.col("section_path"))
-    more = F.when(F.col("chunk_type") == "TABLE", F.concat(topic, F.lit("的表格数据有哪些？"))).when(F.col("chunk_type") == "IMAGE", F.concat(topic, F.lit("的图片说明了什么？")))
-    every = F.array_compact(F.array(F.concat(topic, F.lit("是什么？")), F.concat(topic, F.lit("有哪些要点？")), more))
-    return rows.withColumn("questions", F.when(topic == "", F.array().cast("array<string>")).otherwise(F.slice(every, 1, 4)))
+    """rows: title, keywords, chunk_type. Adds questions: two by topic (the title, else the first keyword), one more for a table or an image. The phrases."""
+    topic = F.when(~T.is_blank(F.col("title")), T.trimmed(F.col("title"))).otherwise(F.coalesce(F.get("keywords", 0), F.lit("")))
+    kind = F.upper(F.coalesce("chunk_type", F.lit("")))
+    every = F.array(
+        F.when(topic != "", F.concat(F.lit("关于"), topic, F.lit("的核心内容是什么？"))),
+        F.when(topic != "", F.concat(topic, F.lit("有哪些要求或注意事项？"))),
+        F.when(kind == "TABLE", F.lit("这个表格说明了什么？")).when(kind.isin("IMAGE", "FIGURE"), F.lit("这张图片说明了什么？")),
+    )
+    return rows.withColumn("questions", F.slice(F.array_distinct(F.array_compact(every)), 1, 4))
 
 
 def recommend_strategy(stats: DataFrame, recursive_max: int = RECURSIVE_MAX, semantic_min: int = SEMANTIC_MIN) -> DataFrame:

@@ -20,7 +20,16 @@ SECTION_CODE = r"[0-9]+(?:\.[0-9]+)+"
 CHINESE_SECTION = r"第\s*[0-9一二三四五六七八九十百]+\s*(?:章|节|小节)"
 QUOTED = "[“\"']([^”\"']{2,40})[”\"']"
 EXPLICIT_DATE = r"([0-9]{4}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}日?)|([0-9]{1,2}月[0-9]{1,2}日)"
-RELATIVE_TIME = ["今天", "今日", "明天", "明日", "昨天", "昨日", "后天", "前天", "现在", "当前", "目前", "此刻", "实时", "最新", "刚刚", "本周", "这周", "本月", "这个月", "今年", "本年度", "本季度"]
+RELATIVE_TIME = ["今天", "今日", "明天", "明日", "昨天", "昨日", "后天", "前天", "现在", "当前", "目前", "此刻", "实时", "最新", "刚刚", "本周", "这周", "本月", "这个月", "今年", "本年度", "本季度", "周几", "星期几", "几号", "日期", "几月几号"]
+REAL_TIME = [
+    "天气", "气温", "温度", "降雨", "下雨", "下雪", "空气质量", "aqi", "限号", "限行", "尾号限行", "汇率", "金价", "黄金价格", "银价", "油价", "股价", "行情", "大盘", "指数",
+    "新闻", "头条", "热搜", "热榜", "路况", "拥堵", "票房", "排片", "航班", "班次", "列车", "高铁", "火车", "地铁运营", "比分", "赛果", "赛程", "比赛结果", "预警", "台风",
+]
+CALENDAR = ["周几", "星期几", "几号", "日期", "几月几号", "星期", "周"]
+HISTORICAL = ["历史", "过去", "去年", "前年", "上周", "上个月", "上月", "上一周", "上一月", "往年", "历年", "当时", "之前", "回顾", "曾经"]
+NOW = ["最新", "实时", "当前", "现在", "目前", "刚刚"]
+# How many scopes, derived topics and documents a route keeps.
+TOP_SCOPES, TOP_DERIVED, TOP_DOCUMENTS = 5, 8, 5
 
 
 def route_score(semantic: Column, lexical: Column, relation: Column, weight: float = RELATION_WEIGHT) -> Column:
@@ -64,6 +73,49 @@ def needs_rewrite(x: Column, has_history: Column) -> Column:
     return (F.char_length(T.trimmed(x)) < F.when(has_history, 18).otherwise(8)) | is_multi_question(x)
 
 
+def needs_date(question: Column) -> Column:
+    """Whether today's date must be given with the question: it speaks of now, of news or of the calendar, and not of the past alone."""
+    q = F.lower(T.trimmed(question))
+    relative, calendar = T.contains_any(q, RELATIVE_TIME), T.contains_any(q, CALENDAR)
+    return (q != "") & ~(T.contains_any(q, HISTORICAL) & ~relative & ~calendar) & (relative | T.contains_any(q, REAL_TIME) | calendar)
+
+
+def needs_search(question: Column) -> Column:
+    """Whether the answer must be looked up as it is now: news or words of now, no past, no stated date, no calendar question."""
+    q = F.lower(T.trimmed(question))
+    return (q != "") & ~(T.contains_any(q, HISTORICAL) | q.rlike(EXPLICIT_DATE) | T.contains_any(q, CALENDAR)) & (T.contains_any(q, REAL_TIME) | T.contains_any(q, NOW))
+
+
+def dated_question(question: Column, today: Column) -> Column:
+    """The question with the current date behind it where it needs one."""
+    return F.when(needs_date(question), F.concat(question, F.lit("（当前日期："), F.date_format(today, "yyyy-MM-dd"), F.lit("）"))).otherwise(question)
+
+
+def centroids(vectors: DataFrame, key: str) -> DataFrame:
+    """The mean vector of all vectors (v) of a key: key, cv."""
+    means = vectors.select(key, F.posexplode("v").alias("at", "x")).groupBy(key, "at").agg(F.avg("x").alias("x"))
+    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda y: y["x"]).alias("cv"))
+
+
+def key_terms(members: DataFrame, key: str, k: int) -> DataFrame:
+    """members: key, terms (distinct, of one document). The k terms of a key found in most of its documents: key, term."""
+    counts = members.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return counts.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "term"))).where(F.col("at") <= k).select(key, "term")
+
+
+def lexical_hits(questions: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """questions: question_id, terms. ln(1 + terms in common) with each key that shares one: question_id, key, lexical."""
+    asked = questions.select("question_id", F.explode("terms").alias("term"))
+    return asked.join(terms, "term").groupBy("question_id", key).agg(F.round(F.log(1 + F.count("*").cast("double")), 6).alias("lexical"))
+
+
+def ranked(scored: DataFrame, k: int = 0) -> DataFrame:
+    """Candidates with a score above 0, best first: adds position; the best k of a question if k is above 0."""
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("score").desc(), "candidate"))
+    rows = scored.where("score > 0").withColumn("position", order)
+    return rows.where(F.col("position") <= k) if k > 0 else rows
+
+
 def intent_columns(questions: DataFrame) -> DataFrame:
     """Deterministic intent of questions (question): type, confidence, anchors, date flags."""
     q = F.col("question")
@@ -77,7 +129,8 @@ def intent_columns(questions: DataFrame) -> DataFrame:
             "query_type": F.when(navigation, "STRUCTURE_NAVIGATION").otherwise("DOCUMENT_QA"),
             "confidence": F.when(navigation, 0.86).otherwise(0.55),
             "anchors": F.slice(F.array_distinct(F.filter(anchors, lambda x: ~T.is_blank(x))), 1, 8),
-            "needs_date": T.contains_any(q, RELATIVE_TIME) & ~q.rlike(EXPLICIT_DATE),
+            "needs_date": needs_date(q),
+            "needs_search": needs_search(q),
             "item_index": T.chinese_number(F.regexp_extract(q, "第([0-9一二三四五六七八九十]+)[步条点项个]", 1)),
         }
     )

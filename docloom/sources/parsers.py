@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -24,10 +24,35 @@ def file_type(name: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))), F.lit("UNKNOWN"))
 
 
+def decoded(content: bytes | None) -> str | None:
+    """A file's text: without byte-order mark, as UTF-8, else as GB18030, else byte by byte."""
+    if content is None:
+        return None
+    content = bytes(content).removeprefix(b"\xef\xbb\xbf")
+    for coding in ("utf-8", "gb18030"):
+        try:
+            return content.decode(coding)
+        except UnicodeDecodeError:
+            continue
+    return content.decode("latin-1")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, content text: UTF-8 with or without a byte-order mark."""
+    """name, content text. Valid UTF-8 is decoded by Spark; only other files go through Python."""
+    by_python = F.pandas_udf(lambda contents: contents.map(decoded), "string", F.PandasUDFType.SCALAR)
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path").alias("name"), F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "").alias("content"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return raw.select(F.col("path").alias("name"), F.when(text.isNotNull(), F.regexp_replace(text, "^\ufeff", "")).otherwise(by_python(F.when(text.isNull(), F.col("content")))).alias("content"))
+
+
+def line_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), char_start, char_end, byte_start of every line, in UTF-8 bytes."""
+    lines = F.split("text", "\n")
+    one = F.arrays_zip(F.transform(lines, F.char_length).alias("n"), F.transform(lines, F.octet_length).alias("b"))
+    rows = docs.select("doc_id", F.posexplode(one).alias("line_no", "x")).select("doc_id", "line_no", F.col("x.n").cast("long").alias("n"), F.col("x.b").cast("long").alias("b"))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))
+    return rows.select("doc_id", "line_no", start.alias("char_start"), (start + F.col("n")).alias("char_end"), F.coalesce(F.sum(F.col("b") + 1).over(before), F.lit(0)).alias("byte_start"))
 
 
 def block_type(text: Column) -> Column:
@@ -52,11 +77,12 @@ class _Body(HTMLParser):
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-    def __init__(self):
+    def __init__(self, whole: bool = False):
+        """whole: the document has no body tag, so all of it is the body."""
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, str]] = []
         self.open: list[str] = []
-        self.inside, self.hidden, self.text = False, 0, []
+        self.inside, self.hidden, self.text = whole, 0, []
 
     def handle_starttag(self, tag, attrs):
         if tag == "body":
@@ -92,7 +118,7 @@ class _Body(HTMLParser):
 
 
 def html_blocks(page_id: int, html: str | None) -> list[tuple]:
-    body = _Body()
+    body = _Body(whole=not re.search("<body[\\s>]", html or "", re.I))
     body.feed(html or "")
     body.close()
     body.close_block(body.open[0] if body.open else "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,27 +14,40 @@ def stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def ingest(tasks: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, done: str, failed: str, checkpoint: str):
-    """Runs `process` on each micro-batch of tasks (task_id, ...). Finished tasks are skipped when they come again;
-    a batch that fails is written to `failed` with its reason, so the stream goes on."""
+def ingest(tasks: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, failed: str, checkpoint: str):
+    """Runs `process` on each micro-batch of tasks (task_id, ...); its rows must carry task_id.
 
-    def batch(rows: DataFrame, _: int) -> None:
+    A batch is one folder of target, overwritten when the batch is replayed, and what is done is read from
+    target itself, so a crash at any point neither loses nor doubles a task. A task that an earlier batch
+    finished is skipped. Where process fails with a ValueError the batch's tasks go to `failed` with the reason
+    and the stream goes on; other errors stop it, and the batch runs again after a restart.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         rows = rows.dropDuplicates(["task_id"])
-        if spark._jvm.org.apache.hadoop.fs.Path(done).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(done)):
-            rows = rows.join(spark.read.schema("task_id long").parquet(done), "task_id", "left_anti")
+        try:
+            earlier = spark.read.parquet(target).where(F.col("batch") < number).select("task_id")
+            rows = rows.join(earlier.distinct(), "task_id", "left_anti")
+        except AnalysisException:  # the first batch
+            pass
         rows = rows.persist()
         try:
-            process(rows).write.mode("append").parquet(target)
-            rows.select("task_id").write.mode("append").parquet(done)
-        except Exception as error:  # a failed batch is told in the dead-letter table
-            rows.select("task_id", F.lit(str(error)[:500]).alias("reason")).write.mode("append").parquet(failed)
+            process(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        except ValueError as error:
+            rows.select("task_id", F.lit(str(error)[:500]).alias("reason")).write.mode("overwrite").parquet(f"{failed}/batch={number}")
         finally:
             rows.unpersist()
 
     return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def resumable(tasks: DataFrame, finished: DataFrame) -> DataFrame:
+    """Tasks (task_id, phase_no) with the phase to go on with: one after the last finished (task_id, phase_no); tasks without one start at 1."""
+    last = finished.groupBy("task_id").agg(F.max("phase_no").alias("last"))
+    return tasks.join(last, "task_id", "left").withColumn("next_phase", F.coalesce(F.col("last") + 1, F.lit(1))).drop("last")
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start_ts"), "event_type", "n")
 

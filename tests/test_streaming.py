@@ -4,10 +4,10 @@ from docloom.streaming import ingest
 
 
 def test_replayed_tasks_run_once(spark, tmp_path):
-    source, target, done, failed = (str(tmp_path / x) for x in ("in", "out", "done", "failed"))
+    source, target, failed = (str(tmp_path / x) for x in ("in", "out", "failed"))
     for n in range(2):
         spark.createDataFrame([(1, "a"), (2, "b")], "task_id long, text string").write.mode("append").parquet(source)
-        q = ingest.ingest(ingest.stream(spark, source, "task_id long, text string"), lambda x: x, target, done, failed, str(tmp_path / "cp"))
+        q = ingest.ingest(ingest.stream(spark, source, "task_id long, text string"), lambda x: x, target, failed, str(tmp_path / "cp"))
         q.awaitTermination()
         assert spark.read.parquet(target).count() == 2, n
 
