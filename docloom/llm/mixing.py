@@ -76,7 +76,7 @@ def cutoffs(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs:
     times = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
     targets = saved(targets.withColumn("times", times.cast("long")).withColumn("part", F.round("target").cast("long") - F.col("times") * F.col("source_size")))
     running = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
+    edge = saved(
         buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
         .alias("b")
         .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
