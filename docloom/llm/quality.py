@@ -22,7 +22,6 @@ row by row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from math import log
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,9 +127,8 @@ def score_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE)
     Every n-gram first counts as the document's only one of its bin; bins with k > 1 of them, found as
     neighbours in the sorted bins, are then set right.
     """
-    listed = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<double>")
     corpus, trusted, n, m = listed(ratio.corpus), listed(ratio.trusted), sum(ratio.corpus), sum(ratio.trusted)
-    once = listed([log(max(1, c) - 1 + PRIOR) for c in ratio.corpus])
     with_row = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     d = base_columns(marked(with_row, ratio.labels)).withColumn("bins", F.sort_array(ngram_bins(len(ratio.corpus)))).drop("h", "g")
     d = d.withColumn("repeats", F.expr("filter(bins, (b, i) -> b = get(bins, i + 1))"))
@@ -139,18 +137,18 @@ def score_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE)
     d = d.withColumn("own", own).withColumn("share", (m - F.col("own") * F.size("bins")) / F.greatest(F.lit(1), n - F.size("bins")))
     d = d.withColumn("one", F.lit(float(PRIOR)) * F.col("share") - F.col("own"))
 
-    def alone(b: Column) -> Column:
-        return F.ln(F.get(trusted, b) + F.col("one")) - F.get(once, b)
+    # the counts stand in few places of the plan, as each of them is written out there in full
+    d = d.withColumn("found", F.transform("at", lambda place: F.struct(F.get(trusted, F.get("repeats", place)).alias("t"), F.get(corpus, F.get("repeats", place)).alias("c"))))
 
     def correction(place: Column, j: Column) -> Column:
         k = F.coalesce(F.get(F.col("at"), j + 1), F.size("repeats")) - place + 1
-        b = F.get(F.col("repeats"), place)
-        return k * (F.ln((F.get(trusted, b) - F.col("own") * k + PRIOR * F.col("share")) / (F.get(corpus, b) - k + PRIOR)) - alone(b))
+        t, c = F.get("found", j)["t"], F.get("found", j)["c"]
+        return k * (F.ln((t - F.col("own") * k + PRIOR * F.col("share")) / (c - k + PRIOR)) - F.ln((t + F.col("one")) / (c - 1 + PRIOR)))
 
     zero = F.lit(0.0)
-    total = F.aggregate("bins", zero, lambda s, b: s + alone(b)) + F.aggregate(F.transform("at", correction), zero, lambda s, x: s + x) - F.size("bins") * F.ln("share")
+    total = F.aggregate("bins", zero, lambda s, b: s + F.ln((F.get(trusted, b) + F.col("one")) / (F.get(corpus, b) - 1 + PRIOR))) + F.aggregate(F.transform("at", correction), zero, lambda s, x: s + x) - F.size("bins") * F.ln("share")
     score = F.when((F.size("bins") > 0) & (F.col("share") > 0), F.round(total / F.size("bins"), 6)).otherwise(0.0)
-    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("bins", "repeats", "at", "own", "share", "one", "is_trusted")
+    return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("bins", "repeats", "at", "found", "own", "share", "one", "is_trusted")
 
 
 def kept_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE) -> DataFrame:
