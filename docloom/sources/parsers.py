@@ -1,10 +1,9 @@
 """Parsers from files to ordered blocks: plain text, HTML and Markdown, routed by file type."""
 
-from __future__ import annotations
-
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +37,12 @@ def decoded(content: bytes | None) -> str | None:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, content text. Valid UTF-8 is decoded by Spark; only other files go through Python."""
-    by_python = F.pandas_udf(lambda contents: contents.map(decoded), "string", F.PandasUDFType.SCALAR)
+    """name, content text. Valid UTF-8 is decoded by Spark; only other files go through Python. Empty files give no row."""
+
+    @F.pandas_udf("string")
+    def by_python(contents: pd.Series) -> pd.Series:
+        return contents.map(decoded)
+
     raw = spark.read.format("binaryFile").load(path)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return raw.select(F.col("path").alias("name"), F.when(text.isNotNull(), F.regexp_replace(text, "^\ufeff", "")).otherwise(by_python(F.when(text.isNull(), F.col("content")))).alias("content"))

@@ -84,10 +84,10 @@ def test_disabled_channel_is_left_out(spark):
 
 
 def test_elevation(spark):
-    hits = spark.createDataFrame([(1, "vector", 1, 0.9), (1, "vector", 2, 0.7), (1, "keyword", 3, 0.6), (1, "keyword", 9, 0.2)], "question_id int, channel string, chunk_id int, score double")
+    hits = spark.createDataFrame([(1, "vector", 1, 0.9), (1, "vector", 2, 0.7), (1, "keyword", 3, 0.6), (1, "keyword", 9, 0.2)], "question_id int, channel string, chunk_id int, fused_score double")
     parents = spark.createDataFrame([(1, 7), (2, 7), (3, 7)], "chunk_id int, parent_id int")
-    got = {r["parent_key"]: (r["score"], r["child_count"], r["best_child"]) for r in retrieval.elevate(hits, parents).collect()}
-    assert got == {"7": (1.206, 3, 1), "orphan-9": (0.2, 1, 9)}
+    got = {r["parent_key"]: (r["score"], r["child_count"], r["best_child"], r["channel"], r["parent_rank"]) for r in retrieval.ranked_parents(retrieval.elevate(hits, parents)).collect()}
+    assert got == {"7": (1.206, 3, 1, "hybrid", 1), "orphan-9": (0.2, 1, 9, "keyword", 2)}
 
 
 def test_route_score_and_confidence(spark):
