@@ -1,9 +1,9 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-The index is a small log-structured store. Each batch of documents first anti-joins the settled
-keys (already known to be frequent), counts what is left and adds that as one sorted run; when a
-level holds `fanout` runs they are merged into one run of the next level, and keys whose merged
-count has reached the threshold move to the settled keys. Everything is DataFrame code.
+The index is a small log-structured store of bucketed, sorted runs of keys and document counts. Each batch
+of documents is merge-anti-joined with the settled keys (already known to be frequent) and with every run;
+what is new becomes the batch's own run, and when a level holds `fanout` runs they are compacted into one run
+of the next level (`LineRuns`). Everything is DataFrame code.
 
 Defined results: a null or empty text is one empty line; blank lines are never dropped; a line
 repeated within a document counts that document once; rows with the same (or a null) doc_id count
@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BLANKS, ascii_lower, saved, table, whole
+from docloom.llm.common import BLANKS, ascii_lower, saved, sorted_table, table, whole
 
 MIN_DOCUMENTS = 10
 BATCHES = 4
+#: Lines of the table for each bucket of the runs.
+BUCKET_LINES = 2_000_000
 
 
 def lines(text: Column) -> Column:
@@ -47,51 +49,77 @@ def line_keys(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of (key, n), each sorted by key; `settled` holds the keys with n >= threshold."""
+    """Levelled runs of (key, n), tables bucketed and sorted by key; a key is in one run at most.
 
-    def __init__(self, threshold: int = MIN_DOCUMENTS, fanout: int = 2):
-        self.threshold, self.fanout = threshold, fanout
+    A batch is merged against all runs: keys that are settled go, keys that no run has are the batch's own run,
+    and counts of keys that a run has wait as increments. When a level holds `fanout` runs they are compacted to
+    one run of the next level with the increments of its keys, and keys whose count has reached the threshold
+    move to the settled keys. Runs and batches are bucketed alike, so these joins shuffle nothing.
+    """
+
+    def __init__(self, threshold: int = MIN_DOCUMENTS, fanout: int = 2, buckets: int = 8):
+        self.threshold, self.fanout, self.buckets = threshold, fanout, buckets
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: list[DataFrame] = []
+        self.waiting: list[DataFrame] = []
+
+    def _sorted(self, rows: DataFrame) -> DataFrame:
+        return sorted_table(rows, self.buckets, "key")
+
+    def _open(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    @staticmethod
+    def _without(rows: DataFrame, runs: list[DataFrame]) -> DataFrame:
+        for run in runs:
+            rows = rows.join(run.select("key"), "key", "left_anti")
+        return rows
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys whose key is in no run and not settled."""
-        for run in [*self.settled, *(run for level in self.levels for run in level)]:
-            keys = keys.join(run.select("key"), "key", "left_anti")
-        return keys
+        return self._without(keys, [*self.settled, *self._open()])
 
     def add(self, keys: DataFrame) -> None:
         """keys: a row for each document of the batch and each distinct key in it."""
-        for run in self.settled:
-            keys = keys.join(run, "key", "left_anti")
-        self._push(0, keys.groupBy("key").agg(F.count("*").alias("n")))
+        batch = self._sorted(keys.groupBy("key").agg(F.count("*").alias("n")))
+        known = self._open()
+        fresh = self._sorted(self.unseen(batch))
+        if known:
+            self.waiting.append(self._sorted(self._without(batch, [*self.settled, fresh])))
+        self._push(0, fresh)
 
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(saved(run.sortWithinPartitions("key")))
-        if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = saved(self._merged(self.levels[level])), []
-            self.settled.append(saved(merged.where(F.col("n") >= self.threshold).select("key").sortWithinPartitions("key")))
-            self._push(level + 1, merged.where(F.col("n") < self.threshold))
+        self.levels[level].append(run)
+        if len(self.levels[level]) < self.fanout:
+            return
+        keys, self.levels[level] = self._union(self.levels[level]), []
+        if self.waiting:
+            more = self._sorted(self._summed(self.waiting))
+            merged = self._sorted(keys.join(more.withColumnRenamed("n", "more"), "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+            self.waiting = [self._sorted(self._without(more, [merged]))]
+        else:
+            merged = self._sorted(keys)
+        self.settled.append(self._sorted(merged.where(F.col("n") >= self.threshold).select("key")))
+        self._push(level + 1, self._sorted(merged.where(F.col("n") < self.threshold)))
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
+    def _union(runs: list[DataFrame]) -> DataFrame:
         out = runs[0]
         for run in runs[1:]:
             out = out.unionByName(run)
-        return out.groupBy("key").agg(F.sum("n").alias("n"))
+        return out
+
+    def _summed(self, runs: list[DataFrame]) -> DataFrame:
+        return self._union(runs).groupBy("key").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
         """All keys found in at least `threshold` documents, each once."""
-        open_runs = [run for level in self.levels for run in level]
         found = list(self.settled)
-        if open_runs:
-            found.append(self._merged(open_runs).where(F.col("n") >= self.threshold).select("key"))
-        out = found[0]
-        for part in found[1:]:
-            out = out.unionByName(part)
-        return out
+        if self._open():
+            found.append(self._summed([*self._open(), *self.waiting]).where(F.col("n") >= self.threshold).select("key"))
+        return self._union(found)
 
 
 def first_seen_lines(docs: DataFrame, runs: LineRuns) -> DataFrame:
@@ -111,7 +139,8 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: in
     """doc_id, n_lines, n_dropped, kept_text: every line whose key is in at least min_documents documents goes."""
     docs = docs.select("doc_id", "text", F.xxhash64(whole(F.col("text"))).alias("print"))
     keyed = saved(docs.select("doc_id", "print", F.pmod(F.xxhash64("doc_id", "print"), F.lit(batches)).alias("batch"), line_keys(F.col("text")).alias("keys")))
-    runs = LineRuns(min_documents)
+    n_lines = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    runs = LineRuns(min_documents, buckets=int(min(4096, max(8, n_lines // BUCKET_LINES))))
     for i in range(batches):
         runs.add(keyed.where(F.col("batch") == i).select(F.explode(F.array_compact(F.array_distinct("keys"))).alias("key")))
     frequent = saved(runs.frequent())
