@@ -94,13 +94,14 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) < self.fanout:
             return
-        keys, self.levels[level] = self._union(self.levels[level]), []
+        # written before it is joined: a union of bucketed tables must not pass for one bucketed table
+        keys, self.levels[level] = self._sorted(self._union(self.levels[level])), []
         if self.waiting:
             more = self._sorted(self._summed(self.waiting))
             merged = self._sorted(keys.join(more.withColumnRenamed("n", "more"), "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
             self.waiting = [self._sorted(self._without(more, [merged]))]
         else:
-            merged = self._sorted(keys)
+            merged = keys
         self.settled.append(self._sorted(merged.where(F.col("n") >= self.threshold).select("key")))
         self._push(level + 1, self._sorted(merged.where(F.col("n") < self.threshold)))
 
@@ -112,7 +113,7 @@ class LineRuns:
         return out
 
     def _summed(self, runs: list[DataFrame]) -> DataFrame:
-        return self._union(runs).groupBy("key").agg(F.sum("n").alias("n"))
+        return self._union(runs).repartition(self.buckets, "key").groupBy("key").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
         """All keys found in at least `threshold` documents, each once."""
