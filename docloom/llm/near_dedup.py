@@ -327,8 +327,9 @@ def grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     candidates = saved(candidates.unionByName(candidates.select(F.col("component").alias("rep"), "component").distinct()))
     labels = confirmed_groups(candidates, stored, k, percent)
     joined = saved(classes.select("set_key", "rep", "first").join(labels, "rep", "left"))
-    groups = joined.where("label is not null").groupBy("label").agg(F.min("first").alias("group_first"))
-    final = joined.join(groups, "label", "left").select("set_key", F.coalesce("group_first", "first").alias("first"))
+    labelled = joined.where("label is not null")
+    groups = labelled.groupBy("label").agg(F.min("first").alias("group_first"))
+    final = labelled.join(groups, "label").select("set_key", F.col("group_first").alias("first")).unionByName(joined.where("label is null").select("set_key", "first"))
     found = rows.drop("signature").join(final, "set_key", "left")
     least, alone = F.col("first.doc_id"), F.col("first").isNull()
     stays = alone | (F.col("row") == F.col("first.row"))
