@@ -113,7 +113,9 @@ class LineRuns:
         return out
 
     def _summed(self, runs: list[DataFrame]) -> DataFrame:
-        return self._union(runs).repartition(self.buckets, "key").groupBy("key").agg(F.sum("n").alias("n"))
+        # one table first, as in _push
+        one = self._sorted(self._union(runs)) if len(runs) > 1 else runs[0]
+        return one.groupBy("key").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
         """All keys found in at least `threshold` documents, each once."""
