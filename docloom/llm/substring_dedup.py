@@ -7,8 +7,8 @@ left to right into factors: neighbouring anchors that point to the same block at
 factor, and as anchors are at most GRAM words apart the whole factor is equal to the block's words. A
 factor of at least `window` words is a duplicate span, in the document and in its reference block.
 
-Windows that aren't inside a factor - those at factor boundaries above all - are checked exactly: if
-their least anchor occurs twice, the window's hash is counted among all such windows of the corpus.
+Windows that aren't inside a factor - those at factor boundaries above all - are checked one by one: if
+their least anchor occurs twice, the window is counted by a 128-bit hash among all such windows of the corpus.
 A window equal to its anchor's first occurrence is found by its factor, any other by this count, so
 the removed words are exactly those of windows found twice.
 
@@ -37,6 +37,7 @@ from docloom.llm.matching import MAX, at_most_two, dealt, found_in, gram_hashes,
 WINDOW = 35
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 40 << 20
+_SALT = np.uint64(0x5851F42D4C957F2D)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -106,7 +107,7 @@ def _refer(rows: pa.Table) -> pa.Table:
     return _table(out, ["chunk", "hashes", "docs", "places"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
 
-PARSED = "kind int, key long, chunk long, hashes binary, row_no long, starts binary, ends binary"
+PARSED = "kind int, key long, chunk long, hashes binary, checks binary, row_no long, starts binary, ends binary"
 
 
 def _parse(window: int, buckets: int):
@@ -145,25 +146,52 @@ def _parse(window: int, buckets: int):
                     spans = np.unique(spans, axis=0)
                     for part in np.split(spans, np.flatnonzero(np.diff(spans[:, 0])) + 1):
                         if len(part):
-                            out.append((0, None, None, None, int(part[0, 0]), part[:, 1].astype(np.int32).tobytes(), part[:, 2].astype(np.int32).tobytes()))
+                            out.append((0, None, None, None, None, int(part[0, 0]), part[:, 1].astype(np.int32).tobytes(), part[:, 2].astype(np.int32).tobytes()))
                 changes = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                 repeated = np.repeat(found_in(least[changes], refs) >= 0, np.diff(np.append(changes, len(least))))
                 test = np.flatnonzero(repeated & ~proven & (room >= window) & (least != MAX))
-                hashes = gram_hashes(values, window, room)[test]
-                hashes = hashes[at_most_two(hashes, np.argsort(hashes, kind="stable"))]
-                out += [(1, b, chunk, hashes[i].tobytes(), None, None, None) for b, i in dealt(hashes, buckets)]
-        return _table(out, ["kind", "key", "chunk", "hashes", "row_no", "starts", "ends"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
+                hashes, checks = (h[test] for h in window_hashes(values, window, room))
+                order = np.lexsort((checks, hashes))
+                hashes, checks = hashes[order], checks[order]
+                third = np.zeros(len(hashes), dtype=bool)
+                third[2:] = (hashes[2:] == hashes[:-2]) & (checks[2:] == checks[:-2])
+                hashes, checks = hashes[~third], checks[~third]
+                out += [(1, b, chunk, hashes[i].tobytes(), checks[i].tobytes(), None, None, None) for b, i in dealt(hashes, buckets)]
+        return _table(out, ["kind", "key", "chunk", "hashes", "checks", "row_no", "starts", "ends"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 
     return run
 
 
+def window_hashes(values: np.ndarray, window: int, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the window from each place; together 128 bits, so windows with both the same are taken as the same."""
+    return gram_hashes(values, window, room), gram_hashes(values ^ _SALT, window, room)
+
+
+def _pairs_in(hashes: np.ndarray, checks: np.ndarray, ref_hashes: np.ndarray, ref_checks: np.ndarray) -> np.ndarray:
+    """Which pairs are among the reference pairs, which are sorted."""
+    low, high = np.searchsorted(ref_hashes, hashes), np.searchsorted(ref_hashes, hashes, "right")
+    found = high > low
+    found[found] = ref_checks[low[found]] == checks[found]
+    for i in np.flatnonzero(~found & (high - low > 1)):
+        found[i] = checks[i] in ref_checks[low[i] : high[i]]
+    return found
+
+
 def _twice(rows: pa.Table) -> pa.Table:
-    """Hashes found at least twice, told to every chunk that has them."""
-    lists = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("hashes").to_pylist()]
-    values, counts = np.unique(np.concatenate(lists), return_counts=True) if lists else (np.empty(0, np.uint64), np.empty(0, int))
-    often = values[counts > 1]
-    out = [(chunk, mine.tobytes()) for chunk, x in zip(rows.column("chunk").to_pylist(), lists, strict=True) if len(mine := np.unique(x[found_in(x, often) >= 0]))]
-    return _table(out, ["chunk", "hashes"], [pa.int64(), pa.binary()])
+    """Windows found at least twice, told to every chunk that has them."""
+    every_h, every_c = joined(rows.column("hashes"), np.uint64), joined(rows.column("checks"), np.uint64)
+    order = np.lexsort((every_c, every_h))
+    h, c = every_h[order], every_c[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else np.empty(0, int)
+    often = first[np.diff(np.append(first, len(h))) > 1]
+    out, at = [], 0
+    for chunk, x in zip(rows.column("chunk").to_pylist(), rows.column("hashes").to_pylist(), strict=True):
+        mine = slice(at, at + len(x) // 8)
+        at = mine.stop
+        hit = _pairs_in(every_h[mine], every_c[mine], h[often], c[often])
+        if hit.any():
+            out.append((chunk, every_h[mine][hit].tobytes(), every_c[mine][hit].tobytes()))
+    return _table(out, ["chunk", "hashes", "checks"], [pa.int64(), pa.binary(), pa.binary()])
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
@@ -177,9 +205,10 @@ def _remove(window: int, with_text: bool):
             values, room, number, _, starts = _laid(rows)
             gone = np.zeros(len(values), dtype=bool)
             if found.num_rows and len(values):
-                twice = np.unique(joined(found.column("hashes"), np.uint64))
+                twice, checks = joined(found.column("hashes"), np.uint64), joined(found.column("checks"), np.uint64)
                 if len(twice):
-                    hits = np.flatnonzero(found_in(gram_hashes(values, window, room), twice) >= 0)
+                    order = np.lexsort((checks, twice))
+                    hits = np.flatnonzero(_pairs_in(*window_hashes(values, window, room), twice[order], checks[order]))
                     gone |= spread(hits, hits + window, len(values))
                 base = dict(zip(numbers, starts.tolist(), strict=True))
                 begin, end = [], []
@@ -212,14 +241,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Tr
     anchors = hashed.groupBy("chunk").applyInArrow(_index(window, buckets), OUT)
     answers = saved(anchors.groupBy("bucket").applyInArrow(_refer, ANSWER))
     parsed = saved(hashed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_parse(window, buckets), PARSED))
-    twice = parsed.where("kind = 1").select("key", "chunk", "hashes").groupBy("key").applyInArrow(_twice, "chunk long, hashes binary")
+    twice = parsed.where("kind = 1").select("key", "chunk", "hashes", "checks").groupBy("key").applyInArrow(_twice, "chunk long, hashes binary, checks binary")
     pairs = parsed.where("kind = 0").select("row_no", "starts", "ends").mapInArrow(_pairs, "row_no long, start int, end int")
     spans = pairs.groupBy("row_no", "start").agg(F.max("end").alias("end"))
     by_doc = spans.groupBy("row_no").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     # a span goes to the chunk of its document
     places = stored.select("row_no", "chunk")
-    told = by_doc.join(places, "row_no").select("chunk", F.lit(None).cast("binary").alias("hashes"), "row_no", "starts", "ends")
-    found = twice.select("chunk", "hashes", F.lit(None).cast("long").alias("row_no"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends")).unionByName(told)
+    told = by_doc.join(places, "row_no").select("chunk", F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("checks"), "row_no", "starts", "ends")
+    found = twice.select("chunk", "hashes", "checks", F.lit(None).cast("long").alias("row_no"), F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends")).unionByName(told)
     ready = stored.select("chunk", "row_no", "doc_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     return ready.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_remove(window, with_text), RESULT)
 
