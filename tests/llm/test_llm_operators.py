@@ -229,8 +229,9 @@ def brute_groups(rows, k, percent):
     return {i: (len(s), group[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("chunk", "percent"), [(400, 85), (3, 70)])
-def test_near_dedup(monkeypatch, docs, rows, empty, chunk, percent):
+@pytest.mark.parametrize(("chunk", "percent", "dense"), [(400, 85, 512), (3, 70, 512), (400, 85, 2)])
+def test_near_dedup(monkeypatch, docs, rows, empty, chunk, percent, dense):
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
     want = brute_groups(rows, 3, percent)
