@@ -5,8 +5,8 @@
 2. Forest. TREES signature orders are sorted by Spark (range partitions, so a dense region spreads
    over many tasks). Neighbours whose longest common prefix reaches the region's depth are candidates:
    BASE_DEPTH hashes, or, where more than DENSE classes share these, two of the next BASE_DEPTH besides
-   (any two, each choice a sorted order of its own). A run of neighbours is given as links to its
-   smallest member, so no pairs multiply.
+   (any two within a partition of the sorted order; across a border the first two). A run of neighbours
+   is given as links to its smallest member, so no pairs multiply.
 3. Candidate components of these links (alternating large and small stars, on tables).
 4. Confirmation. Each component is checked on full sets. Up to CHUNK classes are checked in one place:
    a class is compared with the members of every group it isn't linked with yet, until the first link.
@@ -17,7 +17,7 @@
 
 A pair with similarity s shares a prefix in no tree with a chance of (1 - s^4)^24: 2e-8 at 0.85, 2e-6 at
 0.8. Where its region is dense in every tree the chance is (1 - s^4 p)^24, p that of two equal hashes in
-four (0.99 and 0.97): 3e-8 and 3e-6.
+four (0.99 and 0.97): 3e-8 and 3e-6; if partition borders part it in every tree, (1 - s^6)^24: 1e-5 and 7e-4.
 
 Defined results: texts without words are linked with nothing; fewer words than a shingle count as one
 shingle; rows are told apart by a number of their own, so repeated rows are copies and rows that repeat a
@@ -146,44 +146,65 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree, dtype=np.int32)), pa.array(parts[0]), pa.array(parts[1]), pa.array(reps)], ["tree", "upper", "lower", "rep"])
 
 
-NEIGHBOURS = "kind int, a long, b long, tree int, upper long, lower long"
+def _dense_labels(rep: np.ndarray, lower: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The smallest class that each class of a dense run reaches by classes with two equal hashes of the next BASE_DEPTH."""
+    label = rep.copy()
+    if not len(rep):
+        return label
+    hashes = [(lower >> 16 * (BASE_DEPTH - 1 - i)) & 0xFFFF for i in range(BASE_DEPTH)]
+    orders = []
+    for i in range(BASE_DEPTH):
+        for j in range(i + 1, BASE_DEPTH):
+            order = np.lexsort((hashes[j], hashes[i], run))
+            keys = [x[order] for x in (hashes[j], hashes[i], run)]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            orders.append((order, starts, np.diff(np.append(starts, len(order)))))
+    while True:
+        before = label.copy()
+        for order, starts, sizes in orders:
+            label[order] = np.repeat(np.minimum.reduceat(label[order], starts), sizes)
+        if np.array_equal(before, label):
+            return label
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: links of each row to the smallest class of its run of four equal hashes; 1: the partition's first and last
-    row, for the seams; 2: rows of dense runs, with the rows of the runs at the partition's borders, which may be parts of one."""
+    """Links of each row to the smallest class of its run; the partition's first and last row, for the seams, as (tree, upper)."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
     tree, upper, lower, rep = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in tables]) for i in range(4))
-    starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (upper[1:] != upper[:-1])]))
-    sizes = np.diff(np.append(starts, len(tree)))
+    links = [np.empty((0, 2), dtype=np.int64)]
+
+    def runs(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate([[True], change]))
+        return starts, np.diff(np.append(starts, len(tree)))
+
+    base = (tree[1:] != tree[:-1]) | (upper[1:] != upper[:-1])
+    starts, sizes = runs(base)
     dense = np.repeat(sizes > DENSE, sizes)
-    least = np.repeat(np.minimum.reduceat(rep, starts), sizes)
-    at_border = np.zeros(len(tree), dtype=bool)
-    at_border[: sizes[0]] = at_border[len(tree) - sizes[-1] :] = True
-    links, seam, told = np.flatnonzero(~dense & (rep != least)), np.array([0, len(tree) - 1]), np.flatnonzero(dense | at_border)
-    at = np.concatenate([links, seam, told])
-    kind = np.repeat(np.array([0, 1, 2], dtype=np.int32), [len(links), 2, len(told)])
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rep[at]), pa.array(least[at]), pa.array(tree[at]), pa.array(upper[at]), pa.array(lower[at])], ["kind", "a", "b", "tree", "upper", "lower"])
+    least = np.where(dense, rep, np.repeat(np.minimum.reduceat(rep, starts), sizes))
+    at = np.flatnonzero(dense)
+    least[at] = _dense_labels(rep[at], lower[at], np.repeat(np.arange(len(starts)), sizes)[at])
+    own = rep != least
+    links.append(np.stack([rep[own], least[own]], axis=1))
+    both = np.concatenate(links)
+    seam = np.array([0, len(tree) - 1])
+    none = np.full(len(both), -1)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([both[:, 0], rep[seam]])), pa.array(np.concatenate([both[:, 1], rep[seam]])), pa.array(np.concatenate([none, tree[seam]]).astype(np.int32)), pa.array(np.concatenate([none, upper[seam]]))],
+        ["a", "b", "tree", "upper"],
+    )
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """classes: (rep, signature). Returns distinct (a, b), b < a, both classes in a run of some tree."""
     forest = classes.select("rep", "signature").mapInArrow(_plant, "tree int, upper long, lower long, rep long")
     rows = forest.repartitionByRange("tree", "upper", "lower", "rep").sortWithinPartitions("tree", "upper", "lower", "rep")
-    found = saved(rows.mapInArrow(_neighbours, NEIGHBOURS))
+    found = saved(rows.mapInArrow(_neighbours, "a long, b long, tree int, upper long"))
     # a run cut by partition borders goes on: the rows at the seams are two a partition
-    seams = found.where("kind = 1").groupBy("tree", "upper").agg(F.collect_set("a").alias("all"))
+    seams = found.where("tree >= 0").groupBy("tree", "upper").agg(F.collect_set("a").alias("all"))
     across = seams.where(F.size("all") > 1).select(F.explode("all").alias("a"), F.array_min("all").alias("b"))
-    # in dense runs two of the next four hashes must be equal as well, whichever two
-    part = lambda i: F.shiftrightunsigned("lower", 16 * (BASE_DEPTH - 1 - i)).bitwiseAND(F.lit(0xFFFF))
-    pairs = F.array(*[F.struct(F.lit(i * BASE_DEPTH + j).alias("which"), (part(i) * 65536 + part(j)).alias("value")) for i in range(BASE_DEPTH) for j in range(i + 1, BASE_DEPTH)])
-    dense = found.where("kind = 2").select("tree", "upper", "a", F.explode(pairs).alias("two")).select("tree", "upper", "two.which", "two.value", "a")
-    key = ["tree", "upper", "which", "value"]
-    least = dense.groupBy(*key).agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
-    deeper = dense.join(least, key).select("a", "b")
-    return found.where("kind = 0").select("a", "b").unionByName(across).unionByName(deeper).where("a <> b").distinct()
+    return found.where("tree < 0").select("a", "b").unionByName(across).where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
