@@ -88,14 +88,6 @@ def _kept_table(df: DataFrame, buckets: int, key: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def sorted_table(df: DataFrame, buckets: int, key: str) -> DataFrame:
-    """df as a table bucketed and sorted by key: tables with as many buckets are joined without a shuffle."""
-    name = f"docloom_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    _SCRATCH.append(name)
-    return df.sparkSession.table(name)
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Drops the scratch tables and folders of this session; call it when the results made from them are written."""
     while _SCRATCH:

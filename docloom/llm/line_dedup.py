@@ -1,6 +1,6 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-The index is a small log-structured store of bucketed, sorted runs of keys and document counts. Each batch
+The index is a small log-structured store of sorted runs of keys and document counts. Each batch
 of documents is merge-anti-joined with the settled keys (already known to be frequent) and with every run;
 what is new becomes the batch's own run, and when a level holds `fanout` runs they are compacted into one run
 of the next level (`LineRuns`). Everything is DataFrame code.
@@ -15,12 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BLANKS, ascii_lower, saved, sorted_table, table, whole
+from docloom.llm.common import BLANKS, ascii_lower, saved, table, whole
 
 MIN_DOCUMENTS = 10
 BATCHES = 4
-#: Lines of the table for each bucket of the runs.
-BUCKET_LINES = 2_000_000
 
 
 def lines(text: Column) -> Column:
@@ -49,22 +47,23 @@ def line_keys(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs of (key, n), tables bucketed and sorted by key; a key is in one run at most.
+    """Levelled runs of (key, n), sorted by key in each of their files; a key is in one run at most.
 
     A batch is merged against all runs: keys that are settled go, keys that no run has are the batch's own run,
     and counts of keys that a run has wait as increments. When a level holds `fanout` runs they are compacted to
     one run of the next level with the increments of its keys, and keys whose count has reached the threshold
-    move to the settled keys. Runs and batches are bucketed alike, so these joins shuffle nothing.
+    move to the settled keys. A batch, its run and each compacted run are written once.
     """
 
-    def __init__(self, threshold: int = MIN_DOCUMENTS, fanout: int = 2, buckets: int = 8):
-        self.threshold, self.fanout, self.buckets = threshold, fanout, buckets
+    def __init__(self, threshold: int = MIN_DOCUMENTS, fanout: int = 2):
+        self.threshold, self.fanout = threshold, fanout
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: list[DataFrame] = []
         self.waiting: list[DataFrame] = []
 
-    def _sorted(self, rows: DataFrame) -> DataFrame:
-        return sorted_table(rows, self.buckets, "key")
+    @staticmethod
+    def _sorted(rows: DataFrame) -> DataFrame:
+        return saved(rows.sortWithinPartitions("key"))
 
     def _open(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -85,7 +84,7 @@ class LineRuns:
         known = self._open()
         fresh = self._sorted(self.unseen(batch))
         if known:
-            self.waiting.append(self._sorted(self._without(batch, [*self.settled, fresh])))
+            self.waiting.append(self._without(batch, [*self.settled, fresh]))
         self._push(0, fresh)
 
     def _push(self, level: int, run: DataFrame) -> None:
@@ -94,16 +93,15 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) < self.fanout:
             return
-        # written before it is joined: a union of bucketed tables must not pass for one bucketed table
-        keys, self.levels[level] = self._sorted(self._union(self.levels[level])), []
+        keys, self.levels[level] = self._union(self.levels[level]), []
         if self.waiting:
             more = self._sorted(self._summed(self.waiting))
-            merged = self._sorted(keys.join(more.withColumnRenamed("n", "more"), "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
-            self.waiting = [self._sorted(self._without(more, [merged]))]
-        else:
-            merged = keys
-        self.settled.append(self._sorted(merged.where(F.col("n") >= self.threshold).select("key")))
-        self._push(level + 1, self._sorted(merged.where(F.col("n") < self.threshold)))
+            keys = keys.join(more.withColumnRenamed("n", "more"), "key", "left").select("key", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        merged = self._sorted(keys)
+        if self.waiting:
+            self.waiting = [self._without(more, [merged])]
+        self.settled.append(merged.where(F.col("n") >= self.threshold).select("key"))
+        self._push(level + 1, merged.where(F.col("n") < self.threshold))
 
     @staticmethod
     def _union(runs: list[DataFrame]) -> DataFrame:
@@ -113,9 +111,7 @@ class LineRuns:
         return out
 
     def _summed(self, runs: list[DataFrame]) -> DataFrame:
-        # one table first, as in _push
-        one = self._sorted(self._union(runs)) if len(runs) > 1 else runs[0]
-        return one.groupBy("key").agg(F.sum("n").alias("n"))
+        return self._union(runs).groupBy("key").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
         """All keys found in at least `threshold` documents, each once."""
@@ -142,8 +138,7 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: in
     """doc_id, n_lines, n_dropped, kept_text: every line whose key is in at least min_documents documents goes."""
     docs = docs.select("doc_id", "text", F.xxhash64(whole(F.col("text"))).alias("print"))
     keyed = saved(docs.select("doc_id", "print", F.pmod(F.xxhash64("doc_id", "print"), F.lit(batches)).alias("batch"), line_keys(F.col("text")).alias("keys")))
-    n_lines = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    runs = LineRuns(min_documents, buckets=int(min(4096, max(8, n_lines // BUCKET_LINES))))
+    runs = LineRuns(min_documents)
     for i in range(batches):
         runs.add(keyed.where(F.col("batch") == i).select(F.explode(F.array_compact(F.array_distinct("keys"))).alias("key")))
     frequent = saved(runs.frequent())
