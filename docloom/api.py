@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from docloom.operators import assembly, blocks, chunking, conversation, filters, planning, profiles, retrieval, routing
 from docloom.plans.options import QUESTION_BUDGET, TOTAL_BUDGET, Plan
 from docloom.plans.registry import told
-from docloom.sources import index, parsers, writers
+from docloom.sources import index, keyword_index, parsers, writers
 
 
 # Chat.
 
 
-def search(questions: DataFrame, stored: index.Index, vectors: DataFrame | None = None, plan: Plan | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def search(questions: DataFrame, stored: keyword_index.KeywordIndex, vectors: DataFrame | None = None, plan: Plan | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """questions: question_id, question and, for the vector channel, query. The final hits of every question over the channels of the plan.
 
     stored: the keyword index; vectors: chunk_id, vector; allowed: the chunk_ids of the request's scope.
@@ -73,10 +73,18 @@ def profile(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return profiles.profiles(documents, nodes)
 
 
-def build_index(chunks: DataFrame, folder: str) -> index.Index:
-    """Writes the keyword index of chunks (chunk_id, chunk_text) and opens it."""
-    index.write_index(chunks, folder)
-    return index.read_index(chunks.sparkSession, folder)
+def build_index(chunks: DataFrame, folder: str) -> keyword_index.KeywordIndex:
+    """Writes the keyword index of chunks (document_id, chunk_id, chunk_text) and opens it."""
+    return keyword_index.add(keyword_index.create(chunks.sparkSession, folder), chunks)
+
+
+def reindex(stored: keyword_index.KeywordIndex, chunks: DataFrame) -> keyword_index.KeywordIndex:
+    """The next version of the index, in which these chunks are all that their documents have."""
+    return keyword_index.replace(stored, chunks)
+
+
+def remove_from_index(stored: keyword_index.KeywordIndex, documents: DataFrame) -> keyword_index.KeywordIndex:
+    return keyword_index.delete(stored, documents)
 
 
 def store_chunks(chunks: DataFrame, path: str) -> None:

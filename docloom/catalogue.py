@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import admin, blocks, chunking, conversation, retrieval, routing
 from docloom.plans.options import Plan
-from docloom.sources import index, parsers
+from docloom.sources import index, keyword_index, parsers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -42,7 +42,11 @@ WINDOWS = "select doc_id, cast(n as int) as chunk_no, substring(text, n * 360 +
 
 
 def chunks(spark, d):
-    found = chunking.fixed_windows(t(spark, d, "documents"))
+    return chunks_of(t(spark, d, "documents"))
+
+
+def chunks_of(documents):
+    found = chunking.fixed_windows(documents)
     return found.select((F.col("doc_id") * SPAN + F.col("chunk_no")).alias("chunk_id"), "doc_id", "chunk_no", "chunk_text")
 
 
@@ -135,12 +139,15 @@ BM25 = rf"""chunk as (select doc_id * {SPAN} + chunk_no as chunk_id, lower(chunk
  kw as (select question_id, chunk_id, round(sum(part), 6) as score from part group by question_id, chunk_id qualify row_number() over (partition by question_id order by score desc, chunk_id) <= 10)"""
 
 
-def keyword_index(spark, d):
-    return index.stored_index(chunks(spark, d), d)
+def stored_keywords(spark, d):
+    def build(folder):
+        keyword_index.add(keyword_index.create(spark, folder), chunks(spark, d).withColumnRenamed("doc_id", "document_id"))
+
+    return keyword_index.open_index(spark, index.stored(spark, "keywords", f"{d}/documents.parquet", build))
 
 
 def keyword_channel(spark, d):
-    return retrieval.keyword_hits(keyword_index(spark, d), question_terms(spark, d))
+    return retrieval.keyword_hits(stored_keywords(spark, d), question_terms(spark, d))
 
 
 @query(f"with {BM25} select * from kw")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.catalogue import PLAN, SPAN, WINDOWS, chunks, fused_hits, keyword_index, observed, query, question_terms, t
+from docloom.catalogue import PLAN, SPAN, WINDOWS, chunks, fused_hits, observed, query, question_terms, stored_keywords, t
 from docloom.catalogue import BM25, GROUP, OBSERVED
 from docloom.functions import text as T
 from docloom.operators import assembly, blocks, chunking, filters, pages, profiles, retrieval
@@ -216,7 +216,7 @@ def filtered_chunks(spark, d):
 )
 def scoped_search(spark, d):
     hints = filters.Hints(DOCUMENTS, TASKS, ("part 0", "part 1"), (3,), (), (9,)).forwarded()
-    return retrieval.keyword_hits(keyword_index(spark, d), question_terms(spark, d), 10, filters.in_scope(scoped_chunks_of(spark, d), hints))
+    return retrieval.keyword_hits(stored_keywords(spark, d), question_terms(spark, d), 10, filters.in_scope(scoped_chunks_of(spark, d), hints))
 
 
 @query(f"with {META} select document_id, case when document_id % 2 = 0 then 'given' else document_name end as document_name, coalesce(nullif(original_name, ''), '') as original_name from meta")

@@ -11,26 +11,11 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
-from docloom.plans.options import BM25_B, BM25_K1, RRF_K, Plan
-from docloom.sources.index import Index
+from docloom.plans.options import RRF_K, Plan
+from docloom.sources import keyword_index
 
 
-def keyword_hits(index: Index, question_terms: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-    """BM25 over a stored index: question_id, chunk_id, score, the best k of each question.
-
-    Only postings of asked terms are read. allowed: (chunk_id) narrows the chunks; figures stay those of the whole index.
-    """
-    asked = index.postings.join(question_terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    if allowed is not None:
-        asked = asked.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    # figures is one row
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(index.figures)).select(
-        "term", "chunk_id",
-        (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.col("avg_len")))).alias("part"),
-    )
-    scores = question_terms.join(weighted, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_k(scores, ["question_id"], k)
+keyword_hits = keyword_index.search
 
 
 #: Vectors and questions in a block; a pair of blocks is one product of matrices.
@@ -44,6 +29,12 @@ def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return numbered.groupBy("block").agg(F.collect_list(F.struct("key", "vector")).alias("rows")).select(F.col("rows.key").alias(f"{key}s"), F.col("rows.vector").alias(f"{key}_vectors"))
 
 
+def _block(batch: pa.RecordBatch, row: int, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and matrix of one block, from Arrow's flat values."""
+    keys, vectors = (batch.column(column + c).slice(row, 1).flatten() for c in (0, 1))
+    return keys.to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+
+
 def vector_hits(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine top-k: question_id, chunk_id, score. queries: (question_id, query), corpus: (chunk_id, vector).
 
@@ -55,11 +46,11 @@ def vector_hits(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, vectors, chunk_ids, chunk_vectors in zip(*batch.to_pydict().values(), strict=True):
-                left, right = np.array(vectors), np.array(chunk_vectors)
+            for i in range(batch.num_rows):
+                (ids, left), (chunk_ids, right) = _block(batch, i, 0), _block(batch, i, 2)
                 norms = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
                 scores = np.round(np.divide(left @ right.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
-                chunks = np.array(chunk_ids)
+                chunks = chunk_ids
                 order = np.lexsort((np.broadcast_to(chunks, scores.shape), -scores), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids, order.shape[1])), pa.array(chunks[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["question_id", "chunk_id", "score"]

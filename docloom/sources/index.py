@@ -1,14 +1,10 @@
-"""Stored retrieval index: postings sorted by term, chunk vectors with their norms, corpus figures and chunk metadata.
-
-An index is built once and read by every search after it. A search reads the row groups of its terms only,
-since each postings file is sorted by term.
-"""
+"""What stored indexes share: terms, a shared folder, and indexes built on first use, once for each state of their table."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from typing import NamedTuple
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +14,7 @@ from docloom.functions import vectors as V
 #: Terms are lower-cased Latin words of two letters or more and Han characters.
 TERMS = r"[a-z0-9]{2,}|\p{IsHan}"
 
-
-class Index(NamedTuple):
-    """postings: term, chunk_id, tf, doc_len. figures: n, avg_len (one row)."""
-
-    postings: DataFrame
-    figures: DataFrame
-
-
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str, int], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,28 +31,20 @@ def terms_of(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERMS), F.lit(0))
 
 
-def write_index(chunks: DataFrame, folder: str) -> None:
-    """Builds the index of chunks (chunk_id, chunk_text); blank chunks are not indexed but count as chunks."""
-    rows = chunks.select("chunk_id", terms_of(F.col("chunk_text")).alias("terms"))
-    lengths = rows.select("chunk_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
-    postings = lengths.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
-    postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
-    rows.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len")).write.parquet(f"{folder}/figures")
-
-
-def read_index(spark: SparkSession, folder: str) -> Index:
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/figures"))
+def state_of(spark: SparkSession, table: str) -> int:
+    """A number that changes when files of a table come, go or are written anew."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(table)
+    return files.agg(F.coalesce(F.bit_xor(F.xxhash64("path", "modificationTime", "length")), F.lit(0))).first()[0]
 
 
-def stored_index(chunks: DataFrame, name: str) -> Index:
-    """The index called name, built on its first use in this application."""
-    spark = chunks.sparkSession
-    key = (spark.sparkContext.applicationId, name)
+def stored(spark: SparkSession, kind: str, table: str, build: Callable[[str], None]) -> str:
+    """The folder of the index of this kind over a table: built on its first use in this application, and again when the table has changed."""
+    key = (spark.sparkContext.applicationId, kind, table, state_of(spark, table))
     if key not in _STORED:
         folder = shared_folder(spark)
-        write_index(chunks, folder)
+        build(folder)
         _STORED[key] = folder
-    return read_index(spark, _STORED[key])
+    return _STORED[key]
 
 
 def with_norms(vectors: DataFrame, column: str = "vector") -> DataFrame:
