@@ -257,12 +257,14 @@ def channel_stats(spark, d):
 
 @query(
     f"""with {BAG}, ev as (select question_id, final_rank as position, 'D' || (chunk_id // {SPAN})::varchar as citation_key from ({HYBRID})),
- num as (select citation_key, row_number() over (order by q, p, citation_key)::int as citation_id from (select citation_key, min(question_id) as q, arg_min(position, (question_id, position)) as p from ev group by citation_key))
- select question_id, position, citation_key, citation_id from ev join num using (citation_key)"""
+ num as (select answer_id, citation_key, row_number() over (partition by answer_id order by q, p, citation_key)::int as citation_id
+   from (select question_id // 60 as answer_id, citation_key, min(question_id) as q, arg_min(position, (question_id, position)) as p from ev group by all))
+ select question_id, position, ev.citation_key, citation_id from ev join num on answer_id = question_id // 60 and num.citation_key = ev.citation_key"""
 )
 def citation_ids(spark, d):
+    """An answer has the questions with numbers up to the next multiple of 60."""
     ev = hybrid_search(spark, d).select("question_id", F.col("final_rank").alias("position"), F.concat(F.lit("D"), F.expr(f"chunk_id div {SPAN}").cast("string")).alias("citation_key"))
-    return retrieval.citation_ids(ev).select("question_id", "position", "citation_key", "citation_id")
+    return retrieval.citation_ids(ev.withColumn("answer_id", F.expr("question_id div 60")), "answer_id").select("question_id", "position", "citation_key", "citation_id")
 
 
 @query("select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1")
@@ -332,21 +334,27 @@ ROUTE = rf"""cen as (select label, list(x order by i) as v from (select label, i
    case when (sem > 0.2::double)::int + (lexical > 0)::int + (relation > 0)::int > 1 then 'COMPOSITE' when sem > 0.2::double then 'SEMANTIC' when lexical > 0 then 'LEXICAL' when relation > 0 then 'RELATION' else 'NONE' end as source from feat)"""
 
 
+def document_terms(spark, d):
+    """The distinct terms of every document, taken from the texts once for all route queries."""
+    rows = t(spark, d, "documents").select("doc_id", "source", F.array_distinct(index.terms_of(F.col("text"))).alias("terms"))
+    return spark.read.schema(rows.schema).parquet(index.stored(spark, "terms", f"{d}/documents.parquet", lambda folder: rows.write.parquet(folder)))
+
+
 def routed(spark, d):
     """Questions (vectors, with the text of the document of that id) against topics (labels): centroids, shared key terms, and the topic's main source."""
     from pyspark.sql import Window
 
     e = t(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
-    docs = e.select("vec_id", "label").join(t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.array_distinct(index.terms_of(F.col("text"))).alias("terms")), "vec_id")
+    docs = e.select("vec_id", "label").join(document_terms(spark, d).withColumnRenamed("doc_id", "vec_id"), "vec_id")
     counts = docs.groupBy("label", "source").agg(F.count("*").alias("n")).withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy(F.col("n").desc(), "source")))
     main = counts.where("at = 1").select(F.col("label").alias("candidate"), "source")
     asked = docs.where(F.col("vec_id") % ASKED == 0).withColumnRenamed("vec_id", "question_id")
     lexical = routing.lexical_hits(asked, routing.key_terms(docs, "label", KEY_TERMS), "label").withColumnRenamed("label", "candidate")
     relation = asked.join(main, "source").select("question_id", "candidate", F.lit(1.0).alias("relation"))
-    # topics are few: one vector a label
-    topics = F.broadcast(routing.centroids(e, "label").withColumnRenamed("label", "candidate"))
-    pairs = e.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("question_id"), "v").crossJoin(topics)
-    rows = pairs.select("question_id", "candidate", F.round(V.cosine(F.col("v"), F.col("cv")), 6).alias("sem"))
+    # every question meets every topic, in blocks
+    topics = routing.centroids(e, "label").select(F.col("label").cast("long").alias("chunk_id"), F.col("cv").alias("vector"))
+    pairs = retrieval.vector_hits(e.where(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("question_id"), F.col("v").alias("query")), topics, topics.count())
+    rows = pairs.select("question_id", F.col("chunk_id").cast(e.schema["label"].dataType).alias("candidate"), F.col("score").alias("sem"))
     rows = rows.join(lexical, ["question_id", "candidate"], "left").join(relation, ["question_id", "candidate"], "left").fillna(0.0, ["lexical", "relation"])
     parts = [F.col(x) for x in ("sem", "lexical", "relation")]
     return rows.select("question_id", "candidate", F.round(routing.route_score(*parts), 6).alias("score"), routing.route_source(*parts).alias("source"))

@@ -134,7 +134,7 @@ def evidence_anchors(spark, d):
 
 
 @query(
-    f"""with x as (select doc_id, {TRIM.format('text')} as g, list_slice(list_transform(string_split(text, chr(10)), lambda x: {TRIM.format('x')}), 1, 40) as ls from documents),
+    f"""with x as (select doc_id, {TRIM.format('text')} as g, list_transform(string_split(text, chr(10)), lambda x: {TRIM.format('x')}) as ls from documents),
  y as (select doc_id, case when length(g) > 120 then '…' || right(g, 119) else g end as goal, list_transform(list_filter(ls, lambda x: x <> ''), lambda x: case when length(x) > 80 then '…' || right(x, 79) else x end) as f from x),
  z as (select doc_id, goal, list_slice(list_filter(f, lambda x, i: list_position(f, x) = i), 1, 6) as facts from y),
  s as (select *, case when goal = '' then '' else '目标：' || case when length(goal) > 80 then '…' || right(goal, 79) else goal end end as gs from z),
@@ -143,13 +143,19 @@ def evidence_anchors(spark, d):
 )
 def normalised_summaries(spark, d):
     none = F.array().cast("array<string>")
-    rows = t(spark, d, "documents").select("doc_id", F.lit(" ").alias("summary"), F.col("text").alias("goal"), F.slice(F.split("text", "\n"), 1, 40).alias("facts"), *[none.alias(c) for c in ("preferences", "resolved", "pending", "hints")])
+    rows = t(spark, d, "documents").select("doc_id", F.lit(" ").alias("summary"), F.col("text").alias("goal"), F.split("text", "\n").alias("facts"), *[none.alias(c) for c in ("preferences", "resolved", "pending", "hints")])
     return planning.normalised_summary(rows).select("doc_id", "goal", F.array_join("facts", "|").alias("facts"), "summary")
 
 
+def dealt_lines(part: int):
+    """Every fifth line of a text, from `part` on."""
+    return F.filter(F.split("text", "\n"), lambda x, i: i % 5 == part)
+
+
 @query(None)
 def summary_texts(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("summary"), F.col("source").alias("goal"), *[F.slice(F.split("text", "\n"), i, 3).alias(c) for i, c in ((1, "facts"), (2, "preferences"), (3, "resolved"), (4, "pending"), (5, "hints"))])
+    """Every line of a document goes to one of the five lists."""
+    rows = t(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("summary"), F.col("source").alias("goal"), *[dealt_lines(i).alias(c) for i, c in enumerate(("facts", "preferences", "resolved", "pending", "hints"))])
     return planning.normalised_summary(rows).select("doc_id", "long_text")
 
 
@@ -209,11 +215,10 @@ def reranked(spark, d):
 
 @query(
     r"""select doc_id, 'Q: ' || source || ' / ' || lang as prompt, regexp_replace(regexp_replace(printf('%.2f', n_chars / 8.0), '(\.[0-9]*?)0+$', '\1'), '\.$', '') as shown,
- len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s*([-*•]|[0-9]+[.)、])\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> ''))::int as items from documents where not contains(text, '[')"""
+ len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s*([-*•]|[0-9]+[.)、])\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> ''))::int as items from documents"""
 )
 def text_tools(spark, d):
-    rows = t(spark, d, "documents").where(~F.contains("text", F.lit("[")))
-    return rows.select("doc_id", T.prompt("Q: {source} / {lang}", {"source": F.col("source"), "lang": F.col("lang")}).alias("prompt"), T.number_text(F.col("n_chars") / 8.0).alias("shown"), F.size(T.tolerant_array(F.col("text"))).alias("items"))
+    return t(spark, d, "documents").select("doc_id", T.prompt("Q: {source} / {lang}", {"source": F.col("source"), "lang": F.col("lang")}).alias("prompt"), T.number_text(F.col("n_chars") / 8.0).alias("shown"), F.size(T.tolerant_array(F.col("text"))).alias("items"))
 
 
 @query(

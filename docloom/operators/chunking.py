@@ -134,8 +134,8 @@ def parents_and_children(chunks: DataFrame, group: int = 4) -> DataFrame:
 
 
 def without_repeats(candidates: DataFrame) -> DataFrame:
-    """The first of candidates equal in path, item index and text, in order of position."""
-    keys = Window.partitionBy("section_path", "item_index", "text").orderBy("position")
+    """The first of a document's candidates equal in path, item index and text, in order of position."""
+    keys = Window.partitionBy("document_id", "section_path", "item_index", "text").orderBy("position")
     return candidates.withColumn("n", F.row_number().over(keys)).where("n = 1").drop("n")
 
 

@@ -196,8 +196,11 @@ def channel_stats(observed: DataFrame) -> DataFrame:
     )
 
 
-def citation_ids(evidence: DataFrame) -> DataFrame:
-    """Dense numbers of citation keys in the order first seen: question_id, position, citation_key -> citation_id."""
-    first = evidence.groupBy("citation_key").agg(F.min(F.struct("question_id", "position")).alias("first"))
-    numbered = first.select("citation_key", F.row_number().over(Window.orderBy("first", "citation_key")).alias("citation_id"))
-    return evidence.join(numbered, "citation_key")
+def citation_ids(evidence: DataFrame, answer: str = "question_id") -> DataFrame:
+    """Adds citation_id: dense numbers of an answer's citation keys in the order first seen over its questions and their positions.
+
+    answer names the column that tells answers apart; answers are independent. Rows of an answer without a key get none.
+    """
+    first = evidence.where("citation_key is not null").groupBy(answer, "citation_key").agg(F.min(F.struct("question_id", "position")).alias("first"))
+    numbered = first.select(answer, "citation_key", F.row_number().over(Window.partitionBy(answer).orderBy("first", "citation_key")).alias("citation_id"))
+    return evidence.join(numbered, [answer, "citation_key"])

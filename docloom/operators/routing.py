@@ -52,8 +52,16 @@ def confidence(scored: DataFrame, key: str) -> DataFrame:
 
 
 def expand_low(scored: DataFrame, allowed: DataFrame, key: str, limit: int) -> DataFrame:
-    """Fills up each key's candidates to `limit` with allowed ones at score 0."""
-    rest = scored.select(key).distinct().crossJoin(allowed.select("candidate").distinct()).join(scored.select(key, "candidate"), [key, "candidate"], "left_anti").withColumn("score", F.lit(0.0))
+    """Fills up each key's candidates to `limit` with allowed ones at score 0, by name.
+
+    A key that has m candidates finds what it lacks among the first limit + m allowed ones, so it meets only these.
+    """
+    own = scored.groupBy(key).agg(F.count_distinct("candidate").alias("has"))
+    most = (own.agg(F.max("has")).first()[0] or 0) + limit
+    named = allowed.select("candidate").distinct().orderBy("candidate").limit(most)
+    numbered = named.select("candidate", F.row_number().over(Window.orderBy("candidate")).alias("at"))  # `most` rows
+    wanted = own.select(key, F.explode(F.sequence(F.lit(1), F.col("has").cast("int") + limit)).alias("at"))
+    rest = wanted.join(numbered, "at").join(scored.select(key, "candidate"), [key, "candidate"], "left_anti").select(key, "candidate", F.lit(0.0).alias("score"))
     every = scored.select(key, "candidate", "score").unionByName(rest)
     return every.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "candidate"))).where(F.col("n") <= limit).drop("n")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.blocks import pandas_batches
+from docloom.sources import markdown
 
 BLOCKS = "document_id long, block_no int, block_type string, heading_level int, text string"
 #: Numbered headings.
@@ -133,53 +134,9 @@ def parse_html(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(pandas_batches(html_blocks, BLOCKS), BLOCKS)
 
 
-def markdown_blocks(document_id: int, text: str | None) -> list[tuple]:
-    """Headings, fenced code, tables, lists and paragraphs by a line-based state machine."""
-    out, now, kind, fence = [], [], "", ""
-
-    def close():
-        nonlocal now, kind
-        if now:
-            body = "\n".join(now)
-            out.append(("TABLE" if kind == "table" else "Text", None, body))
-        now, kind = [], ""
-
-    lines = (text or "").split("\n")
-    for i, line in enumerate(lines):
-        stripped = line.strip()
-        if fence:
-            now.append(line)
-            if stripped.startswith(fence):
-                fence = ""
-                close()
-        elif m := re.match(r"^ {0,3}(`{3,}|~{3,})", line):
-            close()
-            fence, kind = m[1], "code"
-            now.append(line)
-        elif not stripped:
-            close()
-        elif m := re.match(r"^ {0,3}(#{1,6})(?:\s+(.*?))?(?:\s+#+)?\s*$", line):
-            close()
-            if m[2]:
-                out.append(("TITLE", len(m[1]), m[2].strip()))
-        elif kind == "" and i + 1 < len(lines) and "|" in line and re.fullmatch(r"\s*\|?(\s*:?-+:?\s*\|)*\s*:?-+:?\s*\|?\s*", lines[i + 1]) and "-" in lines[i + 1]:
-            kind = "table"
-            now.append(stripped)
-        elif kind == "table" and "|" in line:
-            if not re.fullmatch(r"[\s|:-]+", line):
-                now.append(stripped)
-        else:
-            item = bool(re.match(r"^\s*([-*+]|\d+[.)])\s+", line))
-            if kind == "table" or (item and kind == "text"):
-                close()
-            kind = kind or ("list" if item else "text")
-            now.append(stripped)
-    close()
-    return [(document_id, n, k, level, t) for n, (k, level, t) in enumerate(out, 1)]
-
-
 def parse_markdown(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(pandas_batches(markdown_blocks, BLOCKS), BLOCKS)
+    """Top-level blocks of Markdown documents; `markdown.parse_nodes` has all nodes with their spans."""
+    return markdown.blocks_of(markdown.parse_nodes(docs))
 
 
 def table_cells(blocks: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ def test_intent_rules(spark):
 def test_parsers(spark):
     html = "<html><body><h2>Top</h2><p>one <b>two</b></p><script>x()</script><div>Part 1:</div></body></html>"
     assert [x[2:] for x in parsers.html_blocks(1, html)] == [("TITLE", 2, "Top"), ("Text", None, "one two"), ("TITLE", None, "Part 1:")]
-    md = "# A\n\ntext\nmore\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```\ncode\n```\n- x"
-    got = parsers.markdown_blocks(1, md)
-    assert [(x[2], x[4]) for x in got] == [("TITLE", "A"), ("Text", "text\nmore"), ("TABLE", "| a | b |\n| 1 | 2 |"), ("Text", "```\ncode\n```"), ("Text", "- x")]
-    cells = parsers.table_cells(spark.createDataFrame(got, parsers.BLOCKS)).collect()
+    md = spark.createDataFrame([(1, "# A\n\ntext\nmore\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```\ncode\n```\n- x")], "doc_id long, text string")
+    got = parsers.parse_markdown(md).orderBy("block_no")
+    assert [(x["block_type"], x["text"]) for x in got.collect()] == [("TITLE", "A"), ("Text", "text\nmore"), ("TABLE", "a | b\n1 | 2"), ("CODE", "code"), ("LIST", "- x")]
+    cells = parsers.table_cells(got).collect()
     assert [(r["row_no"], r["column_no"], r["cell"], r["is_header"]) for r in cells] == [(0, 0, "a", 1), (0, 1, "b", 1), (1, 0, "1", 0), (1, 1, "2", 0)]
