@@ -94,12 +94,16 @@ def sections_with_children(tree: DataFrame) -> DataFrame:
     return tree.where("node_type = 'SECTION'").join(children, ["document_id", "node_no"], "left")
 
 
-def best_section(tree: DataFrame, questions: DataFrame, floor: int = 30) -> DataFrame:
-    """For each question (question_id, document_id, question, hint) the section of its document that fits best; first wins ties."""
-    q = F.lower("question")
-    pairs = tree.join(questions, "document_id")
-    score = F.when(F.lower("title").contains(q), 90).otherwise(0) + F.when(T.is_blank(F.col("hint")), 0).when(F.lower("title").contains(F.lower("hint")), 25).otherwise(0)
-    return pairs.withColumn("score", score).where(F.col("score") >= floor).groupBy("question_id").agg(F.max_by("node_no", F.struct(F.col("score"), -F.col("node_no"))).alias("node_no"), F.max("score").alias("score"))
+def section_fields(tree: DataFrame) -> DataFrame:
+    """The fields that a section is searched by: title, path of titles, anchor (number and title) and the text that hangs under it. tree: rows of `structure_tree`."""
+    sections = tree.where("node_type = 'SECTION'").select("document_id", "node_no", "parent_no", "title")
+    body = tree.where("node_type = 'CONTENT'").groupBy("document_id", F.col("parent_no").alias("node_no")).agg(F.array_sort(F.collect_list(F.struct(F.col("node_no").alias("n"), "title"))).alias("xs"))
+    rows = sections.join(body.select("document_id", "node_no", F.array_join(F.col("xs.title"), "\n").alias("content_text")), ["document_id", "node_no"], "left")
+    rows = rows.withColumns({"section_path": F.col("title"), "at": F.col("parent_no")})
+    above = sections.select("document_id", F.col("node_no").alias("at"), F.col("parent_no").alias("above"), F.col("title").alias("above_title"))
+    for _ in range(5):  # titles nest by the six heading levels
+        rows = rows.join(above, ["document_id", "at"], "left").withColumns({"section_path": F.concat_ws("/", "above_title", "section_path"), "at": F.coalesce("above", F.lit(0))}).drop("above", "above_title")
+    return rows.select("document_id", "node_no", "title", "section_path", F.concat_ws(" ", F.col("node_no").cast("string"), "title").alias("anchor_text"), "content_text")
 
 
 def subtree_counts(tree: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval
+from docloom.operators import blocks, retrieval
 from docloom.plans.options import BM25_B, BM25_K1
-from docloom.sources import index, keyword_index, vector_index
+from docloom.sources import index, keyword_index, parsers, section_index, vector_index
 
 CHUNKS = "document_id long, chunk_id long, chunk_text string"
 
@@ -192,3 +192,35 @@ def test_empty_vector_index(spark, tmp_path):
     vector_index.write_vector_index(spark.createDataFrame([], "chunk_id long, vector array<double>"), str(tmp_path / "i"))
     stored = vector_index.read_vector_index(spark, str(tmp_path / "i"))
     assert vector_index.vector_search(stored, spark.createDataFrame([(1, [1.0])], "question_id long, query array<double>")).count() == 0
+
+
+# sections
+
+
+def test_best_sections_equal_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abAB é中 ") for _ in range(n))
+    rows = [(d, n, r.choice([None, "", text(4)]), text(6), r.choice([" ", text(5)]), r.choice([None, text(30)])) for d in range(6) for n in range(1, 12)]
+    questions = [(q, q % 7, r.choice([None, " ", text(1), text(2), text(3), text(4)]), r.choice([None, "", text(1)])) for q in range(120)]
+    want = {}
+    for q, d, question, hint in questions:
+        question, hint = (question or "").strip().lower(), (hint or "").strip().lower()
+        if not question and not hint:
+            continue
+        for doc, node, *fields in sorted(rows, key=lambda x: x[1]):
+            if doc != d:
+                continue
+            fields = [(f or "").lower() for f in fields]
+            score = sum(w for f, w in zip(fields, (90, 70, 60, 30), strict=True) if f.strip() and question in f) + (25 if hint and any(hint in f for f in fields[:3]) else 0)
+            if score >= 30 and score > want.get(q, (0, 0))[1]:
+                want[q] = (node, score)
+    section_index.write_section_index(spark.createDataFrame(rows, section_index.SECTIONS), str(tmp_path / "i"))
+    stored = section_index.read_section_index(spark, str(tmp_path / "i"))
+    found = section_index.best_sections(stored, spark.createDataFrame(questions, "question_id long, document_id long, question string, hint string")).collect()
+    assert {x["question_id"]: (x["node_no"], x["score"]) for x in found} == want and len(want) > 40
+
+
+def test_section_fields(spark):
+    rows = [(1, 1, "TITLE", 1, "A"), (1, 2, "TITLE", 2, "B"), (1, 3, "Text", None, "t"), (1, 4, "Text", None, "u"), (1, 5, "TITLE", 2, "C")]
+    fields = blocks.section_fields(blocks.structure_tree(spark.createDataFrame(rows, parsers.BLOCKS)))
+    assert sorted(tuple(x)[1:] for x in fields.collect()) == [(1, "A", "A", "1 A", None), (2, "B", "A/B", "2 B", "t\nu"), (5, "C", "A/C", "5 C", None)]
