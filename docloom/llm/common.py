@@ -82,9 +82,11 @@ def by_row(docs: DataFrame) -> DataFrame:
 
 
 def _kept_table(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """df as a bucketed table whose files lie in the shared folder."""
     name = f"docloom_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).saveAsTable(name)
-    _SCRATCH.append(name)
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    _SCRATCH.extend([path, name])  # the table goes before its files
     return df.sparkSession.table(name)
 
 
