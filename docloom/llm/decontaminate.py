@@ -14,8 +14,9 @@ more blocks, each a pass over the documents, so what is broadcast is bounded at
 Documents aren't shuffled.
 
 Words are runs of letters and digits, lower-cased, so case and punctuation don't hide a leak.
-Defined results: null or empty texts and items, and items of fewer than SHINGLE words, match
-nothing; repeated items and documents give a row for each pair of rows; empty tables give no rows;
+Items of fewer than SHINGLE words are one shingle, all their words, and match where these stand together; `without_items`
+takes them only if asked, as a single common word would reject clean documents.
+Defined results: null or empty texts and items match nothing; of an item's containments all are given, ties too; repeated items and documents give a row for each pair of rows; empty tables give no rows;
 other columns are ignored.
 """
 
@@ -88,6 +89,7 @@ class ItemIndex:
         self.containment = containment
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, frozenset]] = []
+        self.short: dict[int, dict[tuple, list[int]]] = {}  # by number of words: the words, their items
         sketches: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(text.lower())]
@@ -96,6 +98,8 @@ class ItemIndex:
                 hashes = np.unique(shingle_hashes(np.array(ids, dtype=np.uint64)))
                 sketches.setdefault(len(shingles).bit_length() - 1, []).append((len(self.items), hashes[:SKETCH]))
                 self.items.append((item_id, shingles))
+            elif ids:
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids), []).append(item_id)
         self.partitions = [self._partition(c, rows) for c, rows in sorted(sketches.items())]
 
     def _partition(self, size_class: int, rows: list[tuple[int, np.ndarray]]) -> Partition:
@@ -115,14 +119,22 @@ class ItemIndex:
             hits = np.bincount(part.owners[present[at] == part.hashes], minlength=len(part.needed))
             yield from np.flatnonzero((hits[: len(part.needed)] >= part.needed) & (part.needed > 0)).tolist()
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
+    def _short_items(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """The items of fewer than SHINGLE words that stand in a text."""
+        listed, found = ids.tolist(), []
+        for n, items in sorted(self.short.items()):
+            for words in set(zip(*(listed[j:] for j in range(n)), strict=False)) & items.keys():
+                found += [(item_id, 1, 1) for item_id in items[words]]
+        return found
+
+    def find(self, text: str, short: bool = True) -> list[tuple[int, int, int]]:
         """(item_id, shingles of the item, those found in the text) for every item contained in the text."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in WORD.findall(text.lower())], dtype=np.uint64)
+        found, exact = self._short_items(ids) if short and self.short else [], None
         present = np.unique(shingle_hashes(ids))
         if not len(present) or (len(present) == 1 and present[0] == 0):
-            return []
-        found, exact = [], None
+            return found
         for k in self.candidates(present):
             if exact is None:
                 listed = ids.tolist()
@@ -175,20 +187,20 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = MIN_
     return spark.createDataFrame([], PAIRS) if found is None else found
 
 
-def _clean(index, column: int):
+def _clean(index, column: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: ItemIndex = index.value
         for batch in batches:
-            yield batch.filter(pa.array([not ((t := x.as_py()) and items.find(t)) for x in batch.column(column)], pa.bool_()))
+            yield batch.filter(pa.array([not ((t := x.as_py()) and items.find(t, short)) for x in batch.column(column)], pa.bool_()))
 
     return run
 
 
-def without_items(docs: DataFrame, items: DataFrame, containment: float = MIN_CONTAINMENT) -> DataFrame:
-    """The rows of docs, all columns, whose text contains no item; decided row by row, so ids don't matter."""
+def without_items(docs: DataFrame, items: DataFrame, containment: float = MIN_CONTAINMENT, short: bool = False) -> DataFrame:
+    """The rows of docs, all columns, whose text contains no item; decided row by row, so ids don't matter. short: items of fewer than SHINGLE words count too."""
     for block in _blocks(items, BLOCK_SHINGLES):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, containment))
-        docs = docs.mapInArrow(_clean(index, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(_clean(index, docs.columns.index("text"), short), docs.schema)
     return docs
 
 

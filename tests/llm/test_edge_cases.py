@@ -186,3 +186,30 @@ def test_repeated_windows_of_a_table(spark, docs, odd):
             want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
         got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(table, with_text=False).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_contained_items_equal_brute_force(spark):
+    r = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(60)] + ["É", "naïve", "42"]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(some(r.choice([1, 2, 3, 4, 5, 6, 9, 20, 40])))) for i in range(40)] + [(40, None), (41, ""), (42, "..."), (3, "w1 w2"), (3, "w1 w2")]
+    texts = [(d, " ".join(some(r.randrange(0, 12)) + [x for x in (r.choice(items)[1] or "").upper().split() if r.random() < 0.97] + some(r.randrange(0, 12)))) for d in range(150)] + [(None, "w1, w2!"), (7, None), (8, "")]
+
+    def words(text):
+        return re.findall(r"\w+", (text or "").lower())
+
+    def runs(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    want = []
+    for d, text in texts:
+        for i, item in items:
+            n = min(5, len(words(item)))
+            if n and (shared := len(runs(words(item), n) & runs(words(text), n))) >= 0.8 * (size := len(runs(words(item), n))) - 1e-9:
+                want.append((d, i, size, shared))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    given = spark.createDataFrame(items, "item_id long, text string")
+    got = [(x["doc_id"], x["item_id"], x["n_shingles"], x["n_shared"]) for x in decontaminate.contained_items(frame, given).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(size == 1 for *_, size, _ in want)
+    long_hits = {d for d, i, size, _ in want if len(words(dict(items)[i])) >= 5}
+    assert {x["doc_id"] for x in decontaminate.without_items(frame, given).collect()} >= {d for d, _ in texts} - long_hits - {7, 8}
