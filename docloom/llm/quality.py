@@ -112,8 +112,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> Ratio:
         trusted = F.broadcast(trusted)
     hashed = marked(docs.select("doc_id", "text"), trusted).select("is_trusted", words(F.col("text")).alias("w")).select("is_trusted", word_hashes().alias("h")).withColumn("g", pair_hashes())
     counts = (
-        hashed.select("is_trusted", F.explode(ngram_bins(bins)).alias("bin"))
-        .groupBy("bin")
+        hashed.select("is_trusted", F.explode(F.concat("h", "g")).alias("x"))
+        .groupBy(F.pmod("x", F.lit(bins)).cast("int").alias("bin"))
         .agg(F.count("*").alias("corpus"), F.sum(F.col("is_trusted").cast("long")).alias("trusted"))
         .collect()
     )
@@ -128,7 +128,8 @@ def score_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE)
     neighbours in the sorted bins, are then set right.
     """
     listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<double>")
-    corpus, trusted, n, m = listed(ratio.corpus), listed(ratio.trusted), sum(ratio.corpus), sum(ratio.trusted)
+    # the corpus without one n-gram and with the prior, as almost every n-gram needs it
+    others, trusted, n, m = listed([c - 1 + PRIOR for c in ratio.corpus]), listed(ratio.trusted), sum(ratio.corpus), sum(ratio.trusted)
     with_row = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     d = base_columns(marked(with_row, ratio.labels)).withColumn("bins", F.sort_array(ngram_bins(len(ratio.corpus)))).drop("h", "g")
     d = d.withColumn("repeats", F.expr("filter(bins, (b, i) -> b = get(bins, i + 1))"))
@@ -138,15 +139,15 @@ def score_documents(docs: DataFrame, ratio: Ratio, min_score: float = MIN_SCORE)
     d = d.withColumn("one", F.lit(float(PRIOR)) * F.col("share") - F.col("own"))
 
     # the counts stand in few places of the plan, as each of them is written out there in full
-    d = d.withColumn("found", F.transform("at", lambda place: F.struct(F.get(trusted, F.get("repeats", place)).alias("t"), F.get(corpus, F.get("repeats", place)).alias("c"))))
+    d = d.withColumn("found", F.transform("at", lambda place: F.struct(F.get(trusted, F.get("repeats", place)).alias("t"), F.get(others, F.get("repeats", place)).alias("c"))))
 
     def correction(place: Column, j: Column) -> Column:
         k = F.coalesce(F.get(F.col("at"), j + 1), F.size("repeats")) - place + 1
         t, c = F.get("found", j)["t"], F.get("found", j)["c"]
-        return k * (F.ln((t - F.col("own") * k + PRIOR * F.col("share")) / (c - k + PRIOR)) - F.ln((t + F.col("one")) / (c - 1 + PRIOR)))
+        return k * (F.ln((t - F.col("own") * k + PRIOR * F.col("share")) / (c - (k - 1))) - F.ln((t + F.col("one")) / c))
 
     zero = F.lit(0.0)
-    total = F.aggregate("bins", zero, lambda s, b: s + F.ln((F.get(trusted, b) + F.col("one")) / (F.get(corpus, b) - 1 + PRIOR))) + F.aggregate(F.transform("at", correction), zero, lambda s, x: s + x) - F.size("bins") * F.ln("share")
+    total = F.aggregate("bins", zero, lambda s, b: s + F.ln((F.get(trusted, b) + F.col("one")) / F.get(others, b))) + F.aggregate(F.transform("at", correction), zero, lambda s, x: s + x) - F.size("bins") * F.ln("share")
     score = F.when((F.size("bins") > 0) & (F.col("share") > 0), F.round(total / F.size("bins"), 6)).otherwise(0.0)
     return d.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop("bins", "repeats", "at", "found", "own", "share", "one", "is_trusted")
 
