@@ -37,6 +37,39 @@ def memory_window(rows: DataFrame, keep: int) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "\n").alias("window_text"))
 
 
+def memory_turns(exchanges: DataFrame, keep: int) -> DataFrame:
+    """The turns that a memory shows: of the newest max(3 keep, keep + 4) exchanges those that don't run any more, the newest `keep`, with place from 1 in order.
+
+    exchanges: conv_id, turn, question, answer, status (RUNNING while the answer is written).
+    """
+    fetched = exchanges.withColumn("age", F.row_number().over(newest_first())).where(F.col("age") <= max(3 * keep, keep + 4))
+    ended = fetched.where(F.coalesce("status", F.lit("")) != "RUNNING").withColumn("age", F.row_number().over(newest_first())).where(F.col("age") <= keep)
+    return ended.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).drop("age")
+
+
+def sessions(rows: DataFrame, turns: DataFrame, mode: str = "", keyword: str = "") -> DataFrame:
+    """rows: conv_id, name, mode. Sessions of a mode (blank: any) whose id or name holds the keyword, or that have a turn with it (blank: all), without regard to case."""
+    if mode.strip():
+        rows = rows.where(F.col("mode") == mode.strip())
+    if keyword.strip():
+        word = F.lit(keyword.strip().lower())
+        said = turns.where(F.contains(F.lower("text"), word)).select("conv_id").distinct().withColumn("said", F.lit(True))
+        rows = rows.join(said, "conv_id", "left").where(F.contains(F.lower(F.col("conv_id").cast("string")), word) | F.contains(F.lower("name"), word) | F.col("said")).drop("said")
+    return rows
+
+
+def with_latest(rows: DataFrame, others: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """All rows, each with the newest of the other table's rows of its key as `latest`, null where there is none."""
+    best = others.groupBy(key).agg(F.max_by(F.struct(*[c for c in others.columns if c != key]), F.struct(*order)).alias("latest"))
+    return rows.join(best, key, "left")
+
+
+def token_usage(rows: DataFrame, per_thousand: float = 0.002) -> DataFrame:
+    """rows: conv_id, text, tokens (what a model stated, or null). Tokens stated, else estimated, how many rows stated them, and the cost."""
+    used = F.coalesce(F.col("tokens").cast("long"), T.token_estimate(F.coalesce("text", F.lit(""))))
+    return rows.groupBy("conv_id").agg(F.sum(used).alias("tokens"), F.count("tokens").alias("stated"), F.round(F.sum(used) * per_thousand / 1000, 6).alias("cost"))
+
+
 def turn_pairs(rows: DataFrame) -> DataFrame:
     """User turns with the assistant turn that follows at once."""
     w = Window.partitionBy("conv_id").orderBy("turn")

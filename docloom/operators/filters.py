@@ -59,19 +59,24 @@ def retrievable(documents: DataFrame) -> DataFrame:
 def scope_of(bases: DataFrame, documents: DataFrame, chat_mode: str, selection: str, wanted: list[str] | None = None) -> DataFrame:
     """Knowledge bases of a request with their allowed documents: base_id, allowed (ascending ids).
 
-    Open chats and the selection NONE have no scope; ALL takes every base, SELECTED the wanted ones, which must all exist.
-    Bases without a retrievable document are left out.
+    Open chats and the selection NONE have no scope; ALL takes every base, SELECTED the wanted ones, which must all exist
+    and come in the order asked for. Bases without a retrievable document are left out.
     """
+    order = []
     if chat_mode == "open_chat" or selection not in ("ALL", "SELECTED"):
         bases = bases.limit(0)
     elif selection == "SELECTED":
         asked = list(dict.fromkeys(wanted or []))
-        bases = bases.where(F.col("base_id").isin(*asked))
-        known = {r["base_id"] for r in bases.select("base_id").distinct().collect()}
-        if missing := [x for x in asked if x not in known]:
+        if not asked:
+            raise ValueError("a selection names at least one knowledge base")
+        wanted_rows = bases.sparkSession.createDataFrame([(x,) for x in asked], bases.select("base_id").schema)
+        if missing := [r["base_id"] for r in wanted_rows.join(bases, "base_id", "left_anti").collect()]:  # of those asked for
             raise ValueError(f"no such knowledge base: {missing}")
+        bases = bases.where(F.col("base_id").isin(*asked))
+        order = [F.array_position(F.array(*map(F.lit, asked)), F.col("base_id"))]
     allowed = documents.where("index_status = 3 and last_index_task_id is not null").groupBy("base_id").agg(F.array_sort(F.collect_list("document_id")).alias("allowed"))
-    return bases.select("base_id").distinct().join(allowed, "base_id")
+    found = bases.select("base_id").distinct().join(allowed, "base_id")
+    return found.orderBy(*order) if order else found
 
 
 def lexical_in_scope(hits: DataFrame, base_ids: list, document_ids: list) -> DataFrame:

@@ -86,7 +86,8 @@ def gated_channels(hits: dict[str, DataFrame], plan: Plan) -> DataFrame:
             kept = vector_gate(kept, channel.minimum_score)
         if channel.relative_floor:
             kept = keyword_gate(kept, channel.relative_floor)
-        kept = kept.select("question_id", F.lit(channel.name).alias("channel"), "chunk_id", "score")
+        # a sum hides how the channels are partitioned: Spark 4.1 else zips the union's parts, which adaptive execution may have coalesced differently
+        kept = kept.select((F.col("question_id") + 0).alias("question_id"), F.lit(channel.name).alias("channel"), "chunk_id", "score")
         out = kept if out is None else out.unionByName(kept)
     if out is None:
         raise ValueError("no enabled channel has hits")

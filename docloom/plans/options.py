@@ -45,3 +45,25 @@ class Plan:
 
     def enabled(self) -> tuple[Channel, ...]:
         return tuple(c for c in self.channels if c.enabled)
+
+
+@dataclass(frozen=True)
+class Request:
+    """A checked search request: a question, and documents with the index tasks they were indexed by, one each."""
+
+    question: str
+    document_ids: tuple[int, ...]
+    task_ids: tuple[int, ...]
+    plan: Plan = field(default_factory=Plan)
+
+    def __post_init__(self):
+        if not self.question.strip():
+            raise ValueError("a request needs a question")
+        if not self.document_ids:
+            raise ValueError("a request needs documents to search")
+        if len(self.document_ids) != len(self.task_ids):
+            raise ValueError(f"{len(self.document_ids)} documents have {len(self.task_ids)} tasks")
+        if any(x <= 0 for x in (*self.document_ids, *self.task_ids)):
+            raise ValueError("documents and tasks have positive ids")
+        if not self.plan.enabled():
+            raise ValueError("a request needs an enabled channel")

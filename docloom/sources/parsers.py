@@ -37,16 +37,20 @@ def decoded(content: bytes | None) -> str | None:
     return content.decode("latin-1")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name, content text. Valid UTF-8 is decoded by Spark; only other files go through Python. Empty files give no row."""
+def decode(content: Column) -> Column:
+    """The text of file contents. Valid UTF-8 is decoded by Spark; only other contents go through Python."""
 
     @F.pandas_udf("string")
     def by_python(contents: pd.Series) -> pd.Series:
         return contents.map(decoded)
 
-    raw = spark.read.format("binaryFile").load(path)
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return raw.select(F.col("path").alias("name"), F.when(text.isNotNull(), F.regexp_replace(text, "^\ufeff", "")).otherwise(by_python(F.when(text.isNull(), F.col("content")))).alias("content"))
+    text = F.try_validate_utf8(content.cast("string"))
+    return F.when(text.isNotNull(), F.regexp_replace(text, "^\ufeff", "")).otherwise(by_python(F.when(text.isNull(), content)))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, content text. Empty files give no row."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), decode(F.col("content")).alias("content"))
 
 
 def line_spans(docs: DataFrame) -> DataFrame:

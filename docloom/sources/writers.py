@@ -73,3 +73,19 @@ def without_documents(tables: dict[str, DataFrame], documents: DataFrame) -> dic
 
 def cleared_defaults(rows: DataFrame, key: str, current: int, flag: str = "is_default") -> DataFrame:
     return rows.withColumn(flag, F.when(F.col(key) != current, 0).otherwise(F.col(flag)))
+
+
+#: Tables of a search's trace.
+TRACES = ("channel_executions", "retrieval_results", "stages")
+
+
+def write_trace(rows: dict[str, DataFrame], folder: str, run: str) -> None:
+    """The trace of one run: a table's rows of this run are written anew, those of other runs stay."""
+    if unknown := set(rows) - set(TRACES):
+        raise ValueError(f"a trace has the tables {TRACES}, not {sorted(unknown)}")
+    for table, found in rows.items():
+        found.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{folder}/{table}")
+
+
+def read_trace(spark, folder: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{table}")

@@ -1,4 +1,7 @@
-"""Streams: idempotent ingest by micro-batch, windowed event counts, incremental conversation state."""
+"""Streams: idempotent ingest by micro-batch, windowed event counts, incremental conversation state.
+
+Queues with retries are in `queue`, phases with commits in `phases`, late rows in `late`, summaries in `summary`.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +31,7 @@ def ingest(tasks: DataFrame, process: Callable[[DataFrame], DataFrame], target:
         rows = rows.dropDuplicates(["task_id"])
         try:
             earlier = spark.read.parquet(target).where(F.col("batch") < number).select("task_id")
-            rows = rows.join(earlier.distinct(), "task_id", "left_anti")
+            rows = rows.join(earlier, "task_id", "left_anti")
         except AnalysisException:  # the first batch
             pass
         rows = rows.persist()
