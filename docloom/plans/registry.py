@@ -8,7 +8,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import text as T
 from docloom.operators import conversation, retrieval, routing
 from docloom.sources import index
 
@@ -54,7 +53,6 @@ MEMORIES.add("window", conversation.memory_window)
 MEMORIES.add("recent", recent_memory)
 RECOGNISERS.add("rules", routing.intent_columns)
 TOKENISERS.add("latin_han", index.terms_of)
-TOKENISERS.add("dictionary", T.segmented)
 RERANKERS.add("by_position", retrieval.reranked)
 LEXICAL.add("bm25", retrieval.keyword_hits)
 

@@ -196,8 +196,11 @@ def _score(centres: np.ndarray, k: int):
     return run
 
 
-def vector_search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
-    """question_id, chunk_id, score: the best k by cosine in the probed cells of each question; queries: (question_id, query)."""
+def vector_search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """question_id, chunk_id, score: the best k by cosine in the probed cells of each question; queries: (question_id, query).
+
+    allowed: (chunk_id) narrows the rows before they are scored. A narrow scope may lie outside the tuned probes; give more then.
+    """
     spark, probes = queries.sparkSession, index.probes if probes is None else probes
     if not len(index.centres) or k <= 0 or probes <= 0:
         return spark.createDataFrame([], "question_id long, chunk_id long, score double")
@@ -208,6 +211,7 @@ def vector_search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: i
         read = [r["cell"] for r in probed.select("cell").distinct().collect()]
         rows = rows.where(F.col("cell").isin(read)) if len(read) < len(index.centres) else rows
     coded = rows.select("cell", "piece", "chunk_id", "code", "scale", "error")
+    coded = coded if allowed is None else coded.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     found = probed.groupBy("cell", "piece").cogroup(coded.groupBy("cell", "piece")).applyInArrow(_score(index.centres, k), "question_id long, chunk_id long, piece long, lower double, upper double, cell int")
     of_question = Window.partitionBy("question_id")
     ranked = found.withColumn("at", F.row_number().over(of_question.orderBy(F.desc("lower"))))

@@ -8,7 +8,7 @@ from docloom.functions import text as T
 from docloom.operators import assembly, chunking, filters, pages, planning, profiles, retrieval, routing
 from docloom.plans import registry
 from docloom.plans.options import Channel, Plan
-from docloom.sources import index, parsers, writers
+from docloom.sources import index, parsers, vector_index, writers
 from docloom.streaming import ingest
 
 BLOCK = "document_id long, block_no long, block_id long, block_type string, text string, section_path string, canonical_path string, page_no int, page_range string, table_html string, image_caption string"
@@ -215,6 +215,28 @@ def test_entry_functions(spark, tmp_path):
     assert api.understand(questions).first()["query_type"] == "DOCUMENT_QA"
 
 
+def test_entry_functions_use_the_registry(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "red fox runs"), (2, "blue whale swims"), (3, "red whale")], "chunk_id long, chunk_text string")
+    stored = api.build_index(chunks, str(tmp_path / "keywords"))
+    questions = spark.createDataFrame([(7, "xof")], "question_id long, question string")
+    keyword = Plan(channels=(Channel("keyword"),))
+    assert api.search(questions, stored, None, keyword).count() == 0
+    registry.TOKENISERS.add("backwards", lambda x: index.terms_of(F.reverse(x)))
+    assert [r["chunk_id"] for r in api.search(questions, stored, None, keyword, tokeniser="backwards").collect()] == [1]
+    vectors = chunks.select("chunk_id", registry.hashed_embedding(F.col("chunk_text")).alias("vector"))
+    vector_index.write_vector_index(vectors, str(tmp_path / "vectors"), k=1)
+    cells = vector_index.read_vector_index(spark, str(tmp_path / "vectors"))
+    asked, vector = questions.withColumn("question", F.lit("whale swims blue")), Plan(channels=(Channel("vector"),))
+    assert api.search(asked, stored, cells, vector).orderBy("final_rank").first()["chunk_id"] == 2
+    assert {r["chunk_id"] for r in api.search(asked, stored, cells, vector, chunks.where("chunk_id <> 2")).collect()} <= {1, 3}
+    registry.SCORERS.add("constant", lambda semantic, lexical, relation: F.lit(5.0))
+    features = spark.createDataFrame([(1, 2, 0.5, 1.0, 0.0)], "question_id long, candidate int, semantic double, lexical double, relation double")
+    assert api.score_routes(features, "constant").first()["score"] == 5 != api.score_routes(features).first()["score"]
+    relevance = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.9)], "question_id long, position int, relevance double")
+    placed = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "question_id long, chunk_id long, position int")
+    assert [r["chunk_id"] for r in api.rerank(placed, relevance, 1).collect()] == [6]
+
+
 def test_registry(spark):
     with pytest.raises(KeyError):
         registry.EMBEDDERS.get("none")
