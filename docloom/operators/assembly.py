@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,20 +88,25 @@ def packed(blocks: DataFrame, limit: int = RECURSIVE_MAX) -> DataFrame:
     separator). A block longer than limit is a window of its own, to be split. Blocks without content are left out.
     """
     sizes = blocks.select("document_id", "run_no", "block_no", F.char_length(T.trimmed(rendered())).alias("size")).where("size > 0")
-    runs = sizes.groupBy("document_id", "run_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "size"))).alias("xs"))
-    start = F.struct(F.lit(-1).alias("window"), F.lit(None).cast("int").alias("used"), F.array().cast("array<int>").alias("out"))
+    rows = sizes.withColumn("total", F.sum(F.col("size") + 2).over(Window.partitionBy("document_id", "run_no")) - 2)
 
-    def step(s: Column, x: Column) -> Column:
-        large = x["size"] > limit
-        opens = s["used"].isNull() | large | (s["used"] + x["size"] + 2 > limit)
-        window = s["window"] + F.when(opens, 1).otherwise(0)
-        used = F.when(large, F.lit(None)).when(opens, x["size"] + 2).otherwise(s["used"] + x["size"] + 2).cast("int")
-        return F.struct(window.alias("window"), used.alias("used"), F.concat(s["out"], F.array(window)).alias("out"))
+    def start():
+        window, used = -1, None
 
-    total = F.aggregate("xs", F.lit(-2), lambda s, x: s + x["size"] + 2)
-    windows = F.when(total <= limit, F.transform("xs", lambda _: F.lit(0))).otherwise(F.aggregate("xs", start, step, lambda s: s["out"]))
-    rows = runs.select("document_id", "run_no", F.explode(F.arrays_zip("xs", windows.alias("w"))).alias("x"))
-    return rows.select("document_id", "run_no", "x.xs.block_no", F.col("x.w").alias("window_no"), (F.col("x.xs.size") > limit).alias("oversize"))
+        def step(row: dict) -> int:
+            nonlocal window, used
+            size = row["size"]
+            if row["total"] <= limit:
+                return 0
+            opens = used is None or size > limit or used + size + 2 > limit
+            window += opens
+            used = None if size > limit else size + 2 if opens else used + size + 2
+            return window
+
+        return step
+
+    found = B.folded(rows, ["document_id", "run_no"], ["block_no"], "window_no", "int", start)
+    return found.select("document_id", "run_no", "block_no", "window_no", (F.col("size") > limit).alias("oversize"))
 
 
 def with_runs(blocks: DataFrame, by_section: bool) -> DataFrame:
@@ -126,21 +132,19 @@ def parent_seeds(blocks: DataFrame, steps: list[str], limit: int = RECURSIVE_MAX
 
 
 def _mapped(rows: DataFrame, pieces) -> DataFrame:
-    """Each row once for every piece of its text, numbered in piece_no; a row that fails gives none."""
+    """Each row once for every piece of its text, numbered in piece_no; blank texts give none."""
     schema = rows.drop("piece_no").withColumn("piece_no", F.lit(0)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.drop(columns=["piece_no"], errors="ignore").to_dict("records"):
-                try:
-                    found = pieces(row["text"]) if row["text"] and row["text"].strip() else []
-                except (ValueError, RecursionError):
-                    found = []
-                out += [row | {"text": p, "piece_no": i} for i, p in enumerate(found)]
-            yield pd.DataFrame(out, columns=[f.name for f in schema])
-
-    return rows.mapInPandas(run, schema)
+            texts = [x.as_py() for x in batch.column(batch.schema.get_field_index("text"))]
+            cut = [pieces(t) if t and t.strip() else [] for t in texts]
+            rest = batch.take(pa.array(np.repeat(np.arange(len(cut)), [len(c) for c in cut])))
+            columns = {name: rest.column(i) for i, name in enumerate(rest.schema.names)}
+            columns |= {"text": pa.array([p for c in cut for p in c], pa.string()), "piece_no": pa.array([i for c in cut for i in range(len(c))], pa.int32())}
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
 
 
 def run_pipeline(candidates: DataFrame, steps: list[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,12 +117,26 @@ def subtree_counts(tree: DataFrame) -> DataFrame:
     return found.groupBy("document_id", "top_no").count()
 
 
-def pandas_batches(fn, schema: str):
-    """A row-wise parser as a mapInPandas function."""
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        for rows in batches:
-            yield pd.DataFrame([x for r in rows.itertuples(index=False) for x in fn(*r)], columns=names)
 
-    return run
+def folded(rows: DataFrame, keys: list[str], order: list[str], column: str, kind: str, start: Callable[[], Callable[[dict], object]]) -> DataFrame:
+    """rows with one column more: what a fold over each key's rows in order says of every row.
+
+    start makes a fold: a function that takes a row and keeps what it needs. Rows are sorted within partitions and read as a
+    stream of batches, so neither a key's rows nor a partition is held in memory. kind: boolean or int.
+    """
+    schema = rows.withColumn(column, F.lit(None).cast(kind)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, fold = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if fold is None or key != current:
+                    current, fold = key, start()
+                out.append(fold(row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _ARROW[kind])], [*batch.schema.names, column])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,12 +117,13 @@ def chunk_by(docs: DataFrame, strategy: str) -> DataFrame:
     """doc_id, chunk_no, chunk_text by a named strategy; a sequential fold for each document, in Arrow batches."""
     pieces = STRATEGIES[strategy]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [(d, i, p) for d, t in zip(rows["doc_id"], rows["text"], strict=True) if t for i, p in enumerate(pieces(t))]
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "chunk_text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [pieces(t) if (t := x.as_py()) else [] for x in batch.column(1)]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(cut)), [len(c) for c in cut])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([i for c in cut for i in range(len(c))], pa.int32()), pa.array([p for c in cut for p in c], pa.string())], ["doc_id", "chunk_no", "chunk_text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, chunk_text string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, chunk_no int, chunk_text string")
 
 
 def parents_and_children(chunks: DataFrame, group: int = 4) -> DataFrame:

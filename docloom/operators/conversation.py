@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.blocks import folded
 
 
 def newest_first(order: str = "turn", key: str = "conv_id"):
@@ -99,25 +100,29 @@ def token_cost(rows: DataFrame, per_thousand: float = 0.002) -> DataFrame:
 
 
 def evidence_budget(references: DataFrame, total: int, per_question: int) -> DataFrame:
-    """references: question_no, position, size. Adds rendered: a fold in order over both budgets; a question stops at its first overflow.
+    """references: answer_id, question_no, position, size. Adds rendered: a fold in order over both budgets; a question stops at its first overflow.
 
-    The fold runs over one answer's ordered array; answers (answer_id) are independent.
+    Answers are independent.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("question_no", "position", "size")))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("question"), F.lit(0).cast("long").alias("own"), F.lit(False).alias("stopped"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["question"] == x["question_no"]
-        own = F.when(same, s["own"]).otherwise(F.lit(0).cast("long"))
-        stopped = same & s["stopped"]
-        fits = ~stopped & (s["used"] + x["size"] <= total) & (own + x["size"] <= per_question)
-        size = F.when(fits, x["size"]).otherwise(F.lit(0)).cast("long")
-        return F.struct(
-            (s["used"] + size).alias("used"), x["question_no"].cast("long").alias("question"), (own + size).alias("own"), (~fits).alias("stopped"), F.concat(s["out"], F.array(fits)).alias("out")
-        )
-
-    folded = references.groupBy("answer_id").agg(ordered.alias("xs")).withColumn("out", F.aggregate("xs", start, step, lambda s: s["out"]))
-    return folded.select("answer_id", F.explode(F.arrays_zip("xs", "out")).alias("x")).select("answer_id", "x.xs.question_no", "x.xs.position", "x.xs.size", F.col("x.out").alias("rendered"))
+
+    def start():
+        used, question, own, stopped = 0, None, 0, False
+
+        def step(row: dict) -> bool:
+            nonlocal used, question, own, stopped
+            if row["question_no"] != question:
+                question, own, stopped = row["question_no"], 0, False
+            size = row["size"]
+            fits = not stopped and used + size <= total and own + size <= per_question
+            if fits:
+                used, own = used + size, own + size
+            stopped = not fits
+            return fits
+
+        return step
+
+    rows = references.select("answer_id", "question_no", "position", F.coalesce("size", F.lit(0)).alias("size"))
+    return folded(rows, ["answer_id"], ["question_no", "position"], "rendered", "boolean", start)
 
 
 def merged_summary(batches: DataFrame, highlights: int = 4, item_chars: int = 80) -> DataFrame:

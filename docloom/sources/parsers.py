@@ -1,14 +1,15 @@
 """Parsers from files to ordered blocks: plain text, HTML and Markdown, routed by file type."""
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators.blocks import pandas_batches
 from docloom.sources import markdown
 
 BLOCKS = "document_id long, block_no int, block_type string, heading_level int, text string"
@@ -135,7 +136,13 @@ def html_blocks(page_id: int, html: str | None) -> list[tuple]:
 
 
 def parse_html(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "html").mapInPandas(pandas_batches(html_blocks, BLOCKS), BLOCKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for key, html in zip(batch.column(0), batch.column(1), strict=True) for x in html_blocks(key.as_py(), html.as_py())]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], ["document_id", "block_no", "block_type", "heading_level", "text"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, BLOCKS)
 
 
 def parse_markdown(docs: DataFrame) -> DataFrame:
