@@ -316,9 +316,16 @@ def token_cost(spark, d):
     return conversation.token_cost(t(spark, d, "conversations"))
 
 
-@query(None)
+@query(
+    r"""with u as (select conv_id, turn, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') as x from conversations where role = 'user' and regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+ c as (select conv_id, turn, case when length(x) > 80 then left(x, 79) || '…' else x end as item from u),
+ n as (select conv_id, item, max(turn) as newest from c group by conv_id, item qualify row_number() over (partition by conv_id order by max(turn) desc) <= 4),
+ h as (select conv_id, string_agg(item, '|' order by newest desc) as highlights from n group by conv_id)
+ select conv_id, arg_min(item, turn) as goal, any_value(highlights) as highlights, max(turn) as covered_turn, count(*)::int as covered_count from c join h using (conv_id) group by conv_id"""
+)
 def conversation_summary(spark, d):
-    return conversation.merged_summary(t(spark, d, "conversations"))
+    found = conversation.merged_summary(t(spark, d, "conversations"))
+    return found.withColumn("highlights", F.array_join("highlights", "|"))
 
 
 ROUTE = rf"""cen as (select label, list(x order by i) as v from (select label, i, avg(x) as x from (select label, unnest(cast(embedding as double[])) as x, generate_subscripts(embedding, 1) as i from embeddings) group by label, i) group by label),
@@ -489,7 +496,15 @@ def evidence_counts(spark, d):
     return rows.groupBy("answer_id").agg(F.count("*").alias("refs"))
 
 
-@query(None)
+@query(
+    """with recursive r as (select doc_id as answer_id, pos % 3 as question_no, pos::int as position, length(line) as size from (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents))),
+ o as (select *, row_number() over (partition by answer_id order by question_no, position) as k from r),
+ f as (select answer_id, k, question_no, position, size, size <= 2200 as rendered, case when size <= 2200 then size else 0 end as used, case when size <= 2200 then size else 0 end as own, size > 2200 as stopped from o where k = 1
+  union all select answer_id, k, question_no, position, size, fits, used + case when fits then size else 0 end, own + case when fits then size else 0 end, not fits
+   from (select o.answer_id, o.k, o.question_no, o.position, o.size, f.used, case when o.question_no = f.question_no then f.own else 0 end as own,
+     not (o.question_no = f.question_no and f.stopped) and f.used + o.size <= 5200 and case when o.question_no = f.question_no then f.own else 0 end + o.size <= 2200 as fits from f join o on o.answer_id = f.answer_id and o.k = f.k + 1))
+ select answer_id, question_no::bigint as question_no, position, size::bigint as size, rendered from f"""
+)
 def evidence_budget(spark, d):
     rows = t(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.posexplode(F.split("text", "\n")).alias("position", "line"))
     return conversation.evidence_budget(rows.select("answer_id", (F.col("position") % 3).cast("long").alias("question_no"), "position", F.char_length("line").cast("long").alias("size")), 5200, 2200)

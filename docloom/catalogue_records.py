@@ -9,6 +9,7 @@ from docloom.catalogue import BAG, OBSERVED, PLAN, TOKENS, fused_hits, observed,
 from docloom.catalogue_documents import BLOCKS, block_rows
 from docloom.operators import admin, blocks, conversation, retrieval, routing
 from docloom.sources import index, parsers, writers
+from docloom.streaming import summary
 
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 TITLE = r"({0} <> '' and length({0}) <= 80 and (regexp_matches({0}, '^([一二三四五六七八九十]+、|第[一二三四五六七八九十0-9]+[章节条]|[0-9]+(\.[0-9]+)*[、.])') or regexp_matches({0}, '(章|节|：|:)$')))"
@@ -72,6 +73,13 @@ def boosted_fusion(spark, d):
     return retrieval.fuse(hits, PLAN, kinds)
 
 
+@query(None)
+def conversation_digests(spark, d):
+    """The summary that `streaming.summary` keeps of each conversation, from the whole table at once: tests hold the stream against it."""
+    found = summary.batch_summaries(summary.exchanges(t(spark, d, "conversations")), 1, 2)
+    return found.withColumn("questions", F.array_join("questions", "|"))
+
+
 @query(
     """with s as (select distinct conv_id, 'Chat ' || (conv_id * 37)::varchar as name, case when conv_id % 2 = 0 then 'kb' else 'open' end as mode from conversations)
  select conv_id, name, mode from s where mode = 'kb' and (contains(conv_id::varchar, '1') or contains(lower(name), '1') or exists (select 1 from conversations c where c.conv_id = s.conv_id and contains(lower(c.text), '1')))"""
