@@ -12,6 +12,8 @@ repeated rows give the same record ids; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ STATUS = "HTTP/1.1 200 OK"
 CONTENT_TYPE = "text/html; charset=utf-8"
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Named characters that are decoded; others stay as written.
+#: Frequent named characters; they are looked up before ALL_ENTITIES. Names that neither has stay as written.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "euro": "€"}
+ALL_ENTITIES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
 
@@ -51,21 +54,23 @@ def record_id(*parts: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Named (those of ENTITIES) and numeric character references, each decoded once."""
+    """Named and numeric character references, each decoded once."""
     return _once(text, _decoded)
 
 
 def _decoded(text: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    # written as text and parsed, so that the plan holds two literals and not some thousands
+    known = lambda entities: F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in entities.items())), F.lit("\x01"), F.lit("\x02"))
+    frequent, every = known(ENTITIES), known(ALL_ENTITIES)
 
     def decoded(part: Column) -> Column:
-        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);", 1)
+        name = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
         rest = F.substring(part, F.length(name) + 2, F.length(part))
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).cast("long")
         valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(name == "", F.concat(F.lit("&"), part)).when(name.startswith("#"), F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))).otherwise(
-            F.coalesce(F.concat(F.try_element_at(names, name), rest), F.concat(F.lit("&"), part))
+            F.coalesce(F.concat(F.coalesce(F.try_element_at(frequent, name), F.try_element_at(every, name)), rest), F.concat(F.lit("&"), part))
         )
 
     parts = F.split(text, "&")

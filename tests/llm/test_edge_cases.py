@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, sharding, substring_dedup, suffix_array, warc
 
@@ -213,3 +214,19 @@ def test_contained_items_equal_brute_force(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr) and any(size == 1 for *_, size, _ in want)
     long_hits = {d for d, i, size, _ in want if len(words(dict(items)[i])) >= 5}
     assert {x["doc_id"] for x in decontaminate.without_items(frame, given).collect()} >= {d for d, _ in texts} - long_hits - {7, 8}
+
+
+def test_named_characters(spark):
+    from html.entities import html5
+
+    names = [n[:-1] for n in html5 if n.endswith(";")]
+    texts = [f"a&{n};b" for n in names] + ["&nosuch;", "&amp;lt;", "&eacute", "&frac12;&there4;", "x & y"]
+    got = [r["x"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(warc.decode_entities(F.col("t")).alias("x")).collect()]
+    want = [f"a{warc.ENTITIES.get(n, html5[n + ';'])}b" for n in names] + ["&nosuch;", "&lt;", "&eacute", "½∴", "x & y"]
+    assert got == want
+
+
+def test_a_long_unclosed_comment_and_script(spark):
+    pages = [(1, "http://x", f"<p>a</p><!-- {'b ' * 200_000}"), (2, "http://y", f"<p>a</p><script>{'c ' * 200_000}"), (3, None, "<p>" * 50_000 + "z")]
+    texts = {r["page_id"]: r["block"] for r in warc.derivatives(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string"))).where("record_type = 'conversion'").collect()}
+    assert texts[1].startswith("a") and texts[2].startswith("a\nc c") and texts[3] == "z"
