@@ -2,8 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from docloom import catalogue
-from docloom.sources import keyword_index
+from docloom.operators import chunking, retrieval
+from docloom.sources import keyword_index, parsers
 from tests.test_indexes import CHUNKS, brute, collection, found, same
 
 
@@ -40,3 +45,67 @@ def test_postings_that_are_not_asked_stay_where_they_are(spark, tmp_path, monkey
 def test_channels_are_searched_once(spark):
     plan = catalogue.observed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" not in plan
+
+
+def test_vectors_meet_in_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "SLICE", 5, raising=False)
+    r = np.random.default_rng(1)
+    vectors = r.integers(-2, 3, (300, 3)).astype(float)
+    vectors[7] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, vector array<double>")
+    asked = rows.where("chunk_id % 5 = 2").select(F.col("chunk_id").alias("question_id"), F.col("vector").alias("query"))
+    hits = retrieval.vector_hits(asked, rows, 6)
+    norms = np.linalg.norm(vectors, axis=1)
+    for q, got in found(hits).items():
+        both = norms * norms[q]
+        scores = np.round(np.divide(vectors @ vectors[q], both, out=np.zeros(300), where=both > 0), 6)
+        order = np.lexsort((np.arange(300), -scores))[:6]
+        assert got == [(i, scores[i]) for i in order.tolist()]
+    assert hits.select("question_id").distinct().count() == 60
+    assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mean_score_is_added_from_the_best_down(spark):
+    for scores in mean_cases():
+        rows = spark.createDataFrame([(1, "vector", x, 1, "selected") for x in scores], "question_id long, channel string, score double, accepted int, reason string")
+        total = 0.0
+        for x in sorted(scores, reverse=True):
+            total += x
+        want = np.floor(total / len(scores) * 1e6 + 0.5) / 1e6
+        assert retrieval.channel_stats(rows.coalesce(1)).first()["avg_score"] == want
+
+
+def mean_cases(wanted=2):
+    """Scores, worst first, whose mean is rounded another way if added in that order."""
+    r, out = random.Random(8), []
+    while len(out) < wanted:
+        scores = sorted(r.randrange(300_000, 700_000) / 1e6 for _ in range(10))
+        up, down = (sum_of(x) / 10 for x in (scores, scores[::-1]))
+        if np.floor(up * 1e6 + 0.5) != np.floor(down * 1e6 + 0.5):
+            out.append(scores)
+    return out
+
+
+def sum_of(scores):
+    total = 0.0
+    for x in scores:
+        total += x
+    return total
+
+
+def test_texts_and_pages_leave_in_small_batches(spark):
+    class Rows:
+        """The function given to mapInArrow, called by hand."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["<p>one</p><p>two</p>"] * 1000)], ["id", "text"])
+    for run in (chunking.chunk_by(Rows(), "semantic"), parsers.parse_html(Rows())):
+        sizes = [b.num_rows for b in run(iter([batch]))]
+        assert sum(sizes) >= 1000 and max(sizes) <= 400
