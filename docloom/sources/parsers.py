@@ -135,9 +135,13 @@ def html_blocks(page_id: int, html: str | None) -> list[tuple]:
     return [(page_id, n, "TITLE" if title(tag, t) else "Text", int(tag[1]) if re.fullmatch("h[1-6]", tag) else None, t) for n, (tag, t) in enumerate(body.blocks, 1)]
 
 
+#: Pages that are parsed before their blocks leave the task.
+AT_ONCE = 128
+
+
 def parse_html(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             rows = [x for key, html in zip(batch.column(0), batch.column(1), strict=True) for x in html_blocks(key.as_py(), html.as_py())]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], ["document_id", "block_no", "block_type", "heading_level", "text"])
