@@ -292,19 +292,50 @@ def _solved(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return saved(hashed.groupBy("unit").applyInArrow(_solve(k, percent), LABELLED))
 
 
+def _members(column: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts end to end, the text of each, and the sizes of the sets."""
+    values, lengths = _lists(column.combine_chunks())
+    with np.errstate(over="ignore"):
+        s, counts = shingles(values, lengths, k)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((s, owner))
+    s, owner = s[order], owner[order]
+    first = np.concatenate([[True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])])[: len(s)]
+    return s[first], owner[first], np.bincount(owner[first], minlength=len(counts))
+
+
+#: Shingles in a slice of a product.
+WIDE = 8192
+
+
+def shared_sizes(left: tuple, right: tuple) -> np.ndarray:
+    """How many shingles each set of the left has in common with each of the right, as products over the shingles that both sides have."""
+    common = np.intersect1d(left[0], right[0])
+    out = np.zeros((len(left[2]), len(right[2])))
+    for at in range(0, len(common), WIDE):
+        part, sides = common[at : at + WIDE], []
+        for s, owner, sizes in (left, right):
+            place = np.minimum(np.searchsorted(part, s), len(part) - 1)
+            here = part[place] == s
+            side = np.zeros((len(sizes), len(part)), dtype=np.float32)
+            side[owner[here], place[here]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
 def _across(k: int, percent: int):
     """Links between a block of those that stand apart and a chunk of all members of their component."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a_labels, b_labels = left.column("label").to_pylist(), right.column("label").to_pylist()
-        a_sets, b_sets, test = _sets(left.column("w"), k), _sets(right.column("w"), k), Groups(percent)
-        known, out = set(), []
-        for x, s in zip(a_labels, a_sets, strict=True):
-            for y, t in zip(b_labels, b_sets, strict=True):
-                if x != y and (x, y) not in known and test.linked(s, t):
-                    known.add((x, y))
-                    out.append((max(x, y), min(x, y)))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        found = np.zeros((0, 2), dtype=np.int64)
+        if left.num_rows and right.num_rows:
+            a, b = _members(left.column("w"), k), _members(right.column("w"), k)
+            x, y = left.column("label").to_numpy()[:, None], right.column("label").to_numpy()[None, :]
+            shared = shared_sizes(a, b)
+            i, j = np.nonzero((100 * shared >= percent * (a[2][:, None] + b[2][None, :] - shared)) & (x != y))
+            found = np.unique(np.stack([np.maximum(x[i, 0], y[0, j]), np.minimum(x[i, 0], y[0, j])], axis=1), axis=0)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return run
 
