@@ -28,18 +28,21 @@ from docloom.functions import vectors as V
 
 #: Rows that k-means and the choice of probes see, at most (least hashes); cells at most; rows in a piece of a cell; rounds of k-means.
 SAMPLE, TUNED, MOST_CELLS, PIECE_ROWS, ROUNDS = 65_536, 256, 4096, 8192, 10
+#: Rows of a group of cells and questions of a block, or about that; scores that are held at a time.
+GROUP_ROWS, QUESTION_BLOCK, HELD = 16_384, 2048, 1 << 21
 SEED = 20240607
 #: Scores are rounded to six digits before they are compared, so bounds give way by this much.
 SLACK = 2e-6
 
 
 class VectorIndex(NamedTuple):
-    """rows: cell, piece, chunk_id, code, scale, error, vector. centres, pieces: a row for each cell. probes: cells a question reads."""
+    """rows: cell, piece, chunk_id, code, scale, error, vector. centres, pieces, sizes: a row for each cell. probes: cells a question reads."""
 
     rows: DataFrame
     centres: np.ndarray
     pieces: np.ndarray
     probes: int
+    sizes: np.ndarray
 
 
 def sound(vector: Column) -> Column:
@@ -104,14 +107,15 @@ def write_vector_index(vectors: DataFrame, folder: str, recall: float = 0.95, k:
         coded = spark.createDataFrame([], CODED)
     coded.write.parquet(f"{folder}/coded")
     coded = spark.read.schema(CODED).parquet(f"{folder}/coded")
-    pieces = np.ones(len(centres), dtype=np.int64)
+    sizes = np.zeros(len(centres), dtype=np.int64)
     for r in coded.groupBy("cell").count().collect():  # MOST_CELLS rows at most
-        pieces[r["cell"]] = -(-r["count"] // PIECE_ROWS)
+        sizes[r["cell"]] = r["count"]
+    pieces = np.maximum(1, -(-sizes // PIECE_ROWS))
     share = F.get(F.array(*map(F.lit, pieces.tolist())).cast("array<long>"), F.col("cell"))
     placed = coded.withColumn("piece", F.pmod(F.xxhash64("chunk_id"), share))
     placed.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "chunk_id").write.partitionBy("cell").parquet(f"{folder}/rows")
-    spark.createDataFrame([(i, int(pieces[i]), c.tolist()) for i, c in enumerate(centres)], "cell int, pieces long, centre array<double>").write.parquet(f"{folder}/cells")
-    index = VectorIndex(_rows(spark, folder), centres, pieces, len(centres))
+    spark.createDataFrame([(i, int(pieces[i]), int(sizes[i]), c.tolist()) for i, c in enumerate(centres)], "cell int, pieces long, size long, centre array<double>").write.parquet(f"{folder}/cells")
+    index = VectorIndex(_rows(spark, folder), centres, pieces, len(centres), sizes)
     probes = tuned_probes(index, vectors, recall, k, seed) if len(centres) else 0
     spark.createDataFrame([(probes,)], "probes int").write.parquet(f"{folder}/settings")
 
@@ -123,7 +127,8 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 def read_vector_index(spark: SparkSession, folder: str) -> VectorIndex:
     cells = spark.read.parquet(f"{folder}/cells").orderBy("cell").collect()  # MOST_CELLS rows at most
     centres = np.array([r["centre"] for r in cells]) if cells else np.zeros((0, 0))
-    return VectorIndex(_rows(spark, folder), centres, np.array([r["pieces"] for r in cells], dtype=np.int64), spark.read.parquet(f"{folder}/settings").first()["probes"])
+    pieces, sizes = (np.array([r[c] for r in cells], dtype=np.int64) for c in ("pieces", "size"))
+    return VectorIndex(_rows(spark, folder), centres, pieces, spark.read.parquet(f"{folder}/settings").first()["probes"], sizes)
 
 
 def tuned_probes(index: VectorIndex, vectors: DataFrame, recall: float, k: int, seed: int = SEED) -> int:
@@ -151,47 +156,74 @@ def _place_of_cell(centres: np.ndarray):
     return run
 
 
-PROBES = "question_id long, query array<double>, cell int, piece long"
+PROBES = "question_id long, query array<double>, part long, cells array<int>"
+FOUND = "question_id long, chunk_id long, cell int, piece long, lower double, upper double"
 
 
-def _probe(centres: np.ndarray, pieces: np.ndarray, probes: int):
-    """A row for each piece of the cells that a question probes."""
+def _pieces_of_group() -> int:
+    return max(1, GROUP_ROWS // PIECE_ROWS)
+
+
+def _first_groups(index: VectorIndex) -> np.ndarray:
+    """The group of each cell's first pieces. Cells of one piece share groups; others have as many as they need."""
+    first, at, held = [], 0, 0
+    for size, pieces in zip(index.sizes.tolist(), index.pieces.tolist(), strict=True):
+        if held and held + size > GROUP_ROWS:
+            at, held = at + 1, 0
+        first.append(at)
+        at, held = (at, held + size) if pieces == 1 else (at - (-pieces // _pieces_of_group()), 0)
+    return np.array(first, dtype=np.int64)
+
+
+def _probe(centres: np.ndarray, pieces: np.ndarray, first: np.ndarray, probes: int):
+    """A row for each group that a question probes, with the cells that it probes there."""
+    groups = -(-pieces // _pieces_of_group())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = _order(_matrix(batch.column(1), centres.shape[1]), centres)[:, :probes]
-            times = pieces[cells.ravel()]
-            owner = np.repeat(np.repeat(np.arange(len(cells)), cells.shape[1]), times)
-            piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            for begin in range(0, len(owner), 4096):
-                part = slice(begin, begin + 4096)
-                rows = batch.take(pa.array(owner[part]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.repeat(cells.ravel(), times)[part].astype(np.int32)), pa.array(piece[part])], ["question_id", "query", "cell", "piece"])
+            for begin in range(0, batch.num_rows, 256):
+                rows = batch.slice(begin, 256)
+                cells = _order(_matrix(rows.column(1), centres.shape[1]), centres)[:, :probes]
+                times = groups[cells.ravel()]
+                cell, owner = np.repeat(cells.ravel(), times), np.repeat(np.repeat(np.arange(len(cells)), cells.shape[1]), times)
+                part = first[cell] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                order = np.lexsort((cell, part, owner))
+                cell, owner, part = cell[order], owner[order], part[order]
+                starts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
+                sent = rows.take(pa.array(owner[starts]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([sent.column(0), sent.column(1), pa.array(part[starts]), lists], ["question_id", "query", "part", "cells"])
 
     return run
 
 
 def _score(centres: np.ndarray, k: int):
-    """The rows of a piece that can be among the best k of a question, with bounds of their cosines."""
+    """The rows of a group that can be among the best k of a question's probed rows there, with bounds of their cosines."""
 
     def run(questions: pa.Table, rows: pa.Table) -> pa.Table:
-        out = [[], [], [], [], []]
+        out = []
         if questions.num_rows and rows.num_rows:
             dims = centres.shape[1]
-            cell, piece = rows.column("cell")[0].as_py(), rows.column("piece")[0].as_py()
-            query = units(_matrix(questions.column("query").combine_chunks(), dims))
+            query, probed = units(_matrix(questions.column("query").combine_chunks(), dims)), questions.column("cells").combine_chunks()
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), dtype=np.int8).reshape(-1, dims).astype(float)
-            ids, scale, error = (rows.column(c).to_numpy() for c in ("chunk_id", "scale", "error"))
-            score = (query @ centres[cell])[:, None] + (query @ code.T) * scale
-            lower, upper = score - error, score + error
-            best = np.partition(lower, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-            q, r = np.nonzero(upper >= best[:, None] - SLACK)
-            out = [questions.column("question_id").to_numpy()[q], ids[r], np.full(len(q), piece), lower[q, r], upper[q, r]]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        cells = pa.array([] if not len(out[0]) else np.full(len(out[0]), cell, dtype=np.int32), pa.int32())
-        return pa.table([*(pa.array(x, t) for x, t in zip(out, kinds, strict=True)), cells], ["question_id", "chunk_id", "piece", "lower", "upper", "cell"])
+            ids, scale, error, cell, piece = (rows.column(c).to_numpy() for c in ("chunk_id", "scale", "error", "cell", "piece"))
+            numbers, asked = questions.column("question_id").to_numpy(), probed.value_lengths().to_numpy(zero_copy_only=False)
+            known, of_row = np.unique(cell, return_inverse=True)
+            owner, flat = np.repeat(np.arange(len(query)), asked), probed.flatten().to_numpy(zero_copy_only=False)
+            there = np.isin(flat, known)
+            meets = np.zeros((len(query), len(known)), dtype=bool)
+            meets[owner[there], np.searchsorted(known, flat[there])] = True
+            step = max(1, HELD // len(ids))
+            for begin in range(0, len(query), step):
+                some, met = query[begin : begin + step], meets[begin : begin + step][:, of_row]
+                score = (some @ centres[known].T)[:, of_row] + (some @ code.T) * scale
+                lower, upper = np.where(met, score - error, -np.inf), score + error
+                least = np.partition(lower, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(some), -np.inf)
+                q, r = np.nonzero(met & (upper >= least[:, None] - SLACK))
+                out.append((numbers[begin : begin + step][q], ids[r], cell[r], piece[r], lower[q, r], upper[q, r]))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * len(kinds)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["question_id", "chunk_id", "cell", "piece", "lower", "upper"])
 
     return run
 
@@ -205,14 +237,18 @@ def vector_search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: i
     if not len(index.centres) or k <= 0 or probes <= 0:
         return spark.createDataFrame([], "question_id long, chunk_id long, score double")
     asked = queries.where(sound(F.col("query"))).select(F.col("question_id").cast("long").alias("question_id"), V.doubles(F.col("query")).alias("query"))
-    probed = asked.mapInArrow(_probe(index.centres, index.pieces, min(probes, len(index.centres))), PROBES)
+    first, blocks = _first_groups(index), max(1, -(-asked.count() // QUESTION_BLOCK))
+    probed = asked.mapInArrow(_probe(index.centres, index.pieces, first, min(probes, len(index.centres))), PROBES)
     rows = index.rows
     if probes < len(index.centres):  # MOST_CELLS numbers at most; as a plain list they prune folders while the plan is made
-        read = [r["cell"] for r in probed.select("cell").distinct().collect()]
+        read = [r["cell"] for r in probed.select(F.explode("cells").alias("cell")).distinct().collect()]
         rows = rows.where(F.col("cell").isin(read)) if len(read) < len(index.centres) else rows
-    coded = rows.select("cell", "piece", "chunk_id", "code", "scale", "error")
+    part = F.get(F.array(*map(F.lit, first.tolist())).cast("array<long>"), F.col("cell")) + F.floor(F.col("piece") / _pieces_of_group())
+    coded = rows.select("cell", "piece", "chunk_id", "code", "scale", "error", part.alias("part"))
     coded = coded if allowed is None else coded.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    found = probed.groupBy("cell", "piece").cogroup(coded.groupBy("cell", "piece")).applyInArrow(_score(index.centres, k), "question_id long, chunk_id long, piece long, lower double, upper double, cell int")
+    coded = coded.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    probed = probed.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks).cast("long")))
+    found = probed.groupBy("part", "block").cogroup(coded.groupBy("part", "block")).applyInArrow(_score(index.centres, k), FOUND)
     of_question = Window.partitionBy("question_id")
     ranked = found.withColumn("at", F.row_number().over(of_question.orderBy(F.desc("lower"))))
     least = F.when(F.max("at").over(of_question) >= k, F.min(F.when(F.col("at") <= k, F.col("lower"))).over(of_question)).otherwise(float("-inf"))

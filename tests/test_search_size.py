@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom import catalogue
 from docloom.operators import chunking, retrieval
-from docloom.sources import keyword_index, parsers
+from docloom.sources import keyword_index, parsers, vector_index
 from tests.test_indexes import CHUNKS, brute, collection, found, same
 
 
@@ -67,6 +67,41 @@ def test_vectors_meet_in_pairs_of_blocks(spark, monkeypatch):
     assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a query's plan have written, as their metrics count them."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if "QueryStage" in kind else []
+        own = int(node.metrics().apply("shuffleRecordsWritten").value()) if kind == "ShuffleExchangeExec" else 0
+        children = node.children()
+        return own + sum(walk(x) for x in [*inner, *(children.apply(i) for i in range(children.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_cells_meet_questions_in_groups(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(2)
+    vectors = np.concatenate([r.normal(size=(1900, 6)), np.tile(r.normal(size=6), (100, 1))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, vector array<double>")
+    asked = rows.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("question_id"), F.col("vector").alias("query"))
+    monkeypatch.setattr(vector_index, "PIECE_ROWS", 90)
+    vector_index.write_vector_index(rows, str(tmp_path / "i"), k=5, cells=50)
+    stored = vector_index.read_vector_index(spark, str(tmp_path / "i"))
+    assert stored.pieces.max() > 1 and stored.rows.count() == 2000
+    want = found(retrieval.vector_hits(asked, rows, 5))
+    search = vector_index.vector_search(stored, asked, 5, probes=50)
+    assert found(search) == want
+    # 50 cells for each of 200 questions would be 10,000 rows there and 50,000 back
+    assert shuffled_rows(search) < 2000 * 3 + 200 * 40
+    for group, block, held in ((90, 30, 1000), (10, 1000, 1 << 21)):
+        monkeypatch.setattr(vector_index, "GROUP_ROWS", group)
+        monkeypatch.setattr(vector_index, "QUESTION_BLOCK", block)
+        monkeypatch.setattr(vector_index, "HELD", held)
+        assert found(vector_index.vector_search(stored, asked, 5, probes=50)) == want
+
+
 def test_mean_score_is_added_from_the_best_down(spark):
     for scores in mean_cases():
         rows = spark.createDataFrame([(1, "vector", x, 1, "selected") for x in scores], "question_id long, channel string, score double, accepted int, reason string")
