@@ -47,6 +47,25 @@ def test_channels_are_searched_once(spark):
     assert "InArrow" not in plan
 
 
+def test_routes_are_scored_once_and_terms_are_not_shuffled(spark):
+    d = "/root/testdata/sf0.001"
+    scored = catalogue.routed(spark, d)
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = catalogue.routed(spark, d)
+        catalogue.MOST_BROADCAST, most = 0, catalogue.MOST_BROADCAST
+        try:
+            shuffled = catalogue.routed(spark, d)
+        finally:
+            catalogue.MOST_BROADCAST = most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    rows = [sorted(map(tuple, x.collect())) for x in (scored, again, shuffled)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 50
+
+
 def test_vectors_meet_in_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 64)
     monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 16)
