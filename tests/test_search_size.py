@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom import catalogue
 from docloom.operators import chunking, retrieval
-from docloom.sources import keyword_index, parsers, vector_index
+from docloom.sources import keyword_index, parsers, section_index, vector_index
 from tests.test_indexes import CHUNKS, brute, collection, found, same
 
 
@@ -163,3 +163,16 @@ def test_texts_and_pages_leave_in_small_batches(spark):
     for run in (chunking.chunk_by(Rows(), "semantic"), parsers.parse_html(Rows())):
         sizes = [b.num_rows for b in run(iter([batch]))]
         assert sum(sizes) >= 1000 and max(sizes) <= 400
+
+
+def test_postings_of_sections_are_not_sorted(spark, tmp_path):
+    rows = [(d, n, f"title {n}", "path", f"anchor {n}", f"body {d * 7 + n} of section {n}") for d in range(20) for n in range(1, 5)]
+    section_index.write_section_index(spark.createDataFrame(rows, section_index.SECTIONS), str(tmp_path / "i"))
+    stored = section_index.read_section_index(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(d, d, f"body {d * 7 + 3} of", "") for d in range(20)], "question_id long, document_id long, question string, hint string")
+    best = section_index.best_sections(stored, asked)
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    # grams and candidates are held, postings and texts stream past; postings are read once
+    assert "ShuffledHashJoin" in plan and "LeftSemi" not in plan
+    assert plan.count("node_no:int,gram:string") == 1
+    assert {(r["question_id"], r["node_no"], r["score"]) for r in best.collect()} == {(d, 3, 30) for d in range(20)}
