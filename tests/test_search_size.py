@@ -30,6 +30,22 @@ def test_parts_and_deals_give_the_same_hits(spark, tmp_path, monkeypatch):
     same(found(keyword_index.pruned(stored, terms, 4, narrow).hits), brute(left, asked, 4, allowed))
 
 
+def test_more_parts_give_no_more_candidates(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    asked = {1: ["waa", "wba", "wca", "wda"]}
+    rows = [(i, i, " ".join([t for t in asked[1] if r.random() < 0.5] + ["filler"] * r.randrange(1, 60))) for i in range(900)]
+    terms = spark.createDataFrame([(1, t) for t in asked[1]], "question_id long, term string")
+    written = []
+    monkeypatch.setattr(keyword_index, "once", lambda rows, made=keyword_index.once: written.append(made(rows)) or written[-1])
+    for size in (1000, 30):
+        monkeypatch.setattr(keyword_index, "PART_CHUNKS", size)
+        stored = keyword_index.add(keyword_index.create(spark, str(tmp_path / str(size))), spark.createDataFrame(rows, CHUNKS))
+        same(found(keyword_index.pruned(stored, terms, 5).hits), brute(rows, asked, 5))
+    # what is scored from the forward table
+    _, many = [x.count() for x in written if x.columns == ["question_id", "segment", "chunk_id"]]
+    assert stored.segments[0].parts == 30 and many < 200
+
+
 def test_postings_that_are_not_asked_stay_where_they_are(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(keyword_index, "FEW_POSTINGS", 0, raising=False)
     rows = [(i, i, f"rare{'ly' * (i % 50 == 0)} " + " ".join(f"other{i}x{j}" for j in range(40))) for i in range(300)]
