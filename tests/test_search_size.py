@@ -46,6 +46,30 @@ def test_more_parts_give_no_more_candidates(spark, tmp_path, monkeypatch):
     assert stored.segments[0].parts == 30 and many < 200
 
 
+def shuffled_bytes(spark):
+    """Bytes that tasks have written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    every = context.statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_a_term_is_not_shuffled_with_each_of_its_chunks(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(300)]
+    rows = [(i, i, " ".join(r.sample(words, 60))) for i in range(3000)]
+    asked = {q: r.sample(words, 4) for q in range(3)}
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "question_id long, term string")
+    for parts in (1, 5):
+        monkeypatch.setattr(keyword_index, "PART_CHUNKS", 3000 // parts)
+        before = shuffled_bytes(spark)
+        stored = keyword_index.add(keyword_index.create(spark, str(tmp_path / str(parts))), spark.createDataFrame(rows, CHUNKS).coalesce(2))
+        assert shuffled_bytes(spark) - before < 4 * 60 * 3000 and stored.segments[0].parts == parts
+        sizes = stored.blocks().select("part", F.explode("postings.chunk_id").alias("c")).groupBy("part").agg(F.count_distinct("c").alias("n")).collect()
+        assert len(sizes) == parts and max(x["n"] for x in sizes) < 3000 // parts * 1.1
+        same(found(keyword_index.search(stored, terms, 7)), brute(rows, asked, 7))
+
+
 def test_postings_that_are_not_asked_stay_where_they_are(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(keyword_index, "FEW_POSTINGS", 0, raising=False)
     rows = [(i, i, f"rare{'ly' * (i % 50 == 0)} " + " ".join(f"other{i}x{j}" for j in range(40))) for i in range(300)]
