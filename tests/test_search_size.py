@@ -126,6 +126,25 @@ def test_vectors_meet_in_pairs_of_blocks(spark, monkeypatch):
     assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_more_vectors_and_questions_are_shuffled_in_proportion(spark):
+    def volume(n):
+        vectors = np.random.default_rng(3).normal(size=(n, 32)).astype(np.float32)
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, vector array<float>")
+        asked = rows.where("chunk_id % 2 = 0").select(F.col("chunk_id").alias("question_id"), F.col("vector").alias("query"))
+        before = shuffled_bytes(spark)
+        hits = found(retrieval.vector_hits(asked, rows, 3))
+        exact = vectors.astype(np.float64)
+        norms = np.linalg.norm(exact, axis=1)
+        for q in (0, n // 2 // 2 * 2):
+            scores = np.round(exact @ exact[q] / (norms * norms[q]), 6)
+            order = np.lexsort((np.arange(n), -scores))[:3]
+            assert hits[q] == [(i, scores[i]) for i in order.tolist()]
+        return shuffled_bytes(spark) - before
+
+    small, large = volume(3000), volume(12_000)
+    assert large < small * 6
+
+
 def shuffled_rows(df):
     """Rows that the exchanges of a query's plan have written, as their metrics count them."""
     df.collect()
