@@ -70,6 +70,28 @@ def test_a_term_is_not_shuffled_with_each_of_its_chunks(spark, tmp_path, monkeyp
         same(found(keyword_index.search(stored, terms, 7)), brute(rows, asked, 7))
 
 
+def test_updates_do_not_shuffle_what_stays(spark, tmp_path):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(300)]
+    rows = [(i // 2, i, " ".join(r.sample(words, 60))) for i in range(3000)]
+    asked = {q: r.sample(words, 4) for q in range(3)}
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "question_id long, term string")
+    stored = keyword_index.add(keyword_index.create(spark, str(tmp_path / "i")), spark.createDataFrame(rows, CHUNKS).coalesce(2))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        for rest in (1, 4):
+            stored = keyword_index.delete(stored, spark.range(rest, 1500, 30).select(F.col("id").alias("document_id")))
+        # the forward rows have 180,000 terms, 12,000 of them in what is deleted
+        assert shuffled_bytes(spark) - before < 200_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    left = [x for x in rows if x[0] % 30 not in (1, 4)]
+    assert stored.chunks == len(left) and stored.live().count() == len(left)
+    same(found(keyword_index.search(stored, terms, 7)), brute(left, asked, 7))
+
+
 def test_postings_that_are_not_asked_stay_where_they_are(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(keyword_index, "FEW_POSTINGS", 0, raising=False)
     rows = [(i, i, f"rare{'ly' * (i % 50 == 0)} " + " ".join(f"other{i}x{j}" for j in range(40))) for i in range(300)]
