@@ -1,9 +1,11 @@
 """Searches at size: postings, vectors and hits are dealt in bounded parts and made once."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docloom import catalogue
@@ -104,6 +106,33 @@ def test_postings_that_are_not_asked_stay_where_they_are(spark, tmp_path, monkey
     assert "SortMergeJoin" not in tree and "ShuffledHashJoin" not in tree
 
 
+def test_every_benchmark_item_is_asked(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [(i, " ".join(text for _, _, text in collection(i, [i])), "en", "s", 1) for i in range(60)]
+    items = [(3, "waa wba wca waa"), (7, "WDA wea"), (20, "wba, wfa"), (33, None), (34, ""), (41, "nothing"), (7, "wga wea"), (None, "waa wha")]
+    for name, rows, schema in (("documents", texts, "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        duckdb.execute(f"create or replace temp view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    asked = {3: ["waa", "wba", "wca"], 7: ["wda", "wea", "wga"], 20: ["wba", "wfa"], None: ["waa", "wha"]}
+    chunks = [(r["doc_id"], r["chunk_id"], r["chunk_text"]) for r in catalogue.chunks(spark, str(tmp_path)).collect()]
+    hits = catalogue.bm25_topk(spark, str(tmp_path))
+    same(found(hits), brute(chunks, asked, 10))
+    assert Counter(map(tuple, hits.collect())) == Counter(duckdb.execute(catalogue.ORACLES["bm25_topk"]).fetchall())
+
+
+def test_questions_of_a_term_are_not_shuffled_with_each_block(spark, tmp_path):
+    rows = [(i, i, f"common word{i % 7}") for i in range(20_000)]
+    stored = keyword_index.add(keyword_index.create(spark, str(tmp_path / "i")), spark.createDataFrame(rows, CHUNKS))
+    asked = {f"question {i * 7919 % 10007}": ["common", f"word{i % 9}"] for i in range(500)}
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "question_id string, term string")
+    before = shuffled_bytes(spark)
+    hits = found(keyword_index.search(stored, terms, 3))
+    assert shuffled_bytes(spark) - before < 20 * len(rows)
+    few = list(asked)[:9]
+    same({q: hits[q] for q in few}, brute(rows, {q: asked[q] for q in few}, 3))
+    assert len(hits) == 500
+
+
 def test_channels_are_searched_once(spark):
     plan = catalogue.observed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "InArrow" not in plan
